@@ -6,7 +6,7 @@ with counts summed before the shuffle, and texts move once, to meet their list o
 
 Null and empty texts are one empty line and come back as empty texts; a document without an id
 counts as one document and never keeps a shared line while another holds it; rows that repeat
-an id are one document: all keep or lose the same lines.
+an id are one document, which holds the lines of all of them.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col without the shared lines, plus _n_lines and _n_dropped."""
-    narrow = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    # 28 bytes a line in the shared folder, so that texts are split and hashed once
-    placed = staged(narrow.select("doc", F.posexplode(line_hashes(F.col("body"), min_chars)).alias("pos", "h")).where("h is not null").withColumn("h", F.unhex("h")))
+    narrow = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("row", F.xxhash64("body"))
+    # 36 bytes a line in the shared folder, so that texts are split and hashed once
+    placed = staged(narrow.select("doc", "row", F.posexplode(line_hashes(F.col("body"), min_chars)).alias("pos", "h")).where("h is not null").withColumn("h", F.unhex("h")))
     often = placed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
     keeper = (
         placed.join(often, "h", "left_semi")
@@ -50,10 +50,11 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     drops = (
         placed.join(keeper, "h")
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc").alias("_drop_doc"))
+        .groupBy(F.col("doc").alias("_drop_doc"), F.col("row").alias("_drop_row"))
         .agg(F.collect_set("pos").alias("_drops"))
     )
-    met = docs.join(drops, docs[id_col].eqNullSafe(drops["_drop_doc"]), "left").drop("_drop_doc")
+    marked = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    met = marked.join(drops, F.col(id_col).eqNullSafe(F.col("_drop_doc")) & (F.col("_row") == F.col("_drop_row")), "left").drop("_drop_doc", "_drop_row", "_row")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     met = met.withColumn("_n_lines", F.size(lines).cast("long"))
     kept = F.array_except(F.sequence(F.lit(0), F.col("_n_lines").cast("int") - 1), F.col("_drops"))

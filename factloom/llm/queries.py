@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from factloom.llm import chat, decontaminate, langid, linededup, media, mixing, quality, secrets, simhash, toxicity
+from factloom.llm import oracles as oracle
 from factloom.llm.common import table
 
 
@@ -23,4 +24,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": oracle.LINE_DEDUP, "op6_mixing": oracle.MIXING, "op7_chat_rotation": oracle.CHAT, "op8_decontamination": oracle.DECONTAMINATION}
