@@ -76,10 +76,14 @@ def unit_vector(text: str, dims: int = 1024) -> list[float]:
     return [x / size for x in v] if size else v
 
 
-@F.pandas_udf("array<double>")
-def embed(text: pd.Series) -> pd.Series:
+def embed(text: Column) -> Column:
     """unit_vector of each text: the hash has no built-in form, so batches go through Arrow."""
-    return text.fillna("").map(unit_vector)
+
+    @F.pandas_udf("array<double>")
+    def run(t: pd.Series) -> pd.Series:
+        return t.fillna("").map(unit_vector)
+
+    return run(text)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -104,6 +108,11 @@ def first_json(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def extract_json(text: pd.Series) -> pd.Series:
-    return text.map(first_json)
+def extract_json(text: Column) -> Column:
+    """first_json of each text: brackets have to be balanced outside strings."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(first_json)
+
+    return run(text)
