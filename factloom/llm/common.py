@@ -124,6 +124,24 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h ^ (h >> np.uint64(29))
 
 
+def prefix_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size the places of the words that are longer and a hash of their first bytes."""
+    out, part = [], np.zeros(len(starts), np.uint64)
+    at, with_more = np.arange(len(starts)), ends - starts
+    power = _FACTOR
+    with np.errstate(over="ignore"):
+        for k in range(sizes.stop - 1):
+            more = with_more[at] > k
+            at, part = at[more], part[more]
+            part = part + (buf[starts[at] + k].astype(np.uint64) + np.uint64(1)) * power
+            power = power * _FACTOR
+            if k + 1 in sizes:
+                longer = with_more[at] > k + 1
+                h = (part[longer] + np.uint64(k + 1)) * _FACTOR
+                out.append((at[longer], h ^ (h >> np.uint64(31))))
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

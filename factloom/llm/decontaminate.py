@@ -26,7 +26,8 @@ WINDOW = 8
 BLOCK_BYTES = 16 << 20
 #: A-Z in lower case; ASCII that is neither digit nor letter as a space; the rest as it is.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text as it is, capitals included.
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def normal_words(text: bytes) -> list[bytes]:

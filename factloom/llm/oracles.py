@@ -36,8 +36,8 @@ _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x
 DECONTAMINATION = f"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
  win AS (SELECT DISTINCT item, least(8, len(ws)) AS n, array_to_string(ws[i:i + least(8, len(ws)) - 1], ' ') AS key FROM (SELECT *, unnest(range(1, greatest(2, len(ws) - 6))) AS i FROM b WHERE len(ws) > 0)),
  d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
- at AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS key FROM (SELECT doc_id, ws, n, unnest(range(1, greatest(1, len(ws) - n + 2))) AS i FROM d, (SELECT DISTINCT n FROM win))),
- hits AS (SELECT doc_id, item, n, i FROM at JOIN win USING (n, key)),
+ spots AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS key FROM (SELECT doc_id, ws, n, unnest(range(1, greatest(1, len(ws) - n + 2))) AS i FROM d, (SELECT DISTINCT n FROM win))),
+ hits AS (SELECT doc_id, item, n, i FROM spots JOIN win USING (n, key)),
  hit_words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM hits) GROUP BY 1),
  hit_items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY 1)
  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated

@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's features are which of the model's terms it has. Besides a weight, each term has RANK factors;
+A text's features are which of the model's terms (words and beginnings of words) it has. Besides a weight, each term has RANK factors;
 the factors' products are the weights of pairs of terms, so a pair can count for more, or less, than
 its two terms together. The terms are those, at most TERMS, whose presence goes with the label
-beyond chance (MIN_Z) in a bounded sample of labelled documents (SAMPLE); all texts are scored as a whole.
+beyond chance (MIN_G) in a bounded sample of labelled documents (SAMPLE); all texts are scored as a whole.
 
 Null and empty texts have no terms and get the score of the bias; so do all texts where no label
 can be learned from. A document with several labels counts as toxic if one of them says so.
@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import adam, bounded, crc_mod, groups, joined, sigmoid, small_batches, texts, with_fields, word_hashes, words
+from factloom.llm.common import adam, bounded, crc_mod, groups, joined, prefix_hashes, sigmoid, small_batches, texts, with_fields, word_hashes, words
 
-SAMPLE = 8000
+SAMPLE = 6000
+#: Bytes of the beginnings of words that are terms too.
+PREFIXES = range(3, 9)
 TERMS = 1024
 RANK = 6
 MIN_DOCS = 3
-#: Standard errors by which a term's toxic share must differ from that of all documents.
-MIN_Z = 4.0
+#: Log-likelihood ratio (G squared) from which a term's presence goes with the label beyond chance.
+MIN_G = 25.0
 
 
 @dataclass
@@ -38,10 +40,13 @@ class Machine:
 
 
 def term_sets(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, term hash) of the words of some texts, repeats included."""
-    buf, offsets = joined(items)
+    """(text index, term hash) of the words of some texts and of their beginnings, repeats included:
+    inflected and compound words share a beginning."""
+    buf, offsets = joined([t.decode().lower().encode() for t in items], lower=False)
     starts, ends = words(buf)
-    return np.searchsorted(offsets, starts, "right") - 1, word_hashes(buf, starts, ends)
+    doc = np.searchsorted(offsets, starts, "right") - 1
+    parts = prefix_hashes(buf, starts, ends, PREFIXES)
+    return np.concatenate([doc, *(doc[at] for at, _ in parts)]), np.concatenate([word_hashes(buf, starts, ends), *(h for _, h in parts)])
 
 
 def raw_scores(m: Machine, x: np.ndarray) -> np.ndarray:
@@ -50,7 +55,7 @@ def raw_scores(m: Machine, x: np.ndarray) -> np.ndarray:
     return m.bias + x @ m.weight + 0.5 * ((s * s).sum(axis=1) - x @ (m.factor**2).sum(axis=1))
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, steps: int = 150, rate: float = 0.05, decay: float = 3e-4) -> Machine:
+def fit(docs: list[np.ndarray], toxic: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 2e-5) -> Machine:
     """docs are arrays of the distinct term hashes of each document."""
     n = len(docs)
     prior = (toxic.sum() + 0.5) / (n + 1.0) if n else 0.5
@@ -62,10 +67,11 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, steps: int = 150, rate: float
     values, code = np.unique(np.concatenate(docs), return_inverse=True)
     seen = np.bincount(code, minlength=len(values))
     bad = np.bincount(code, toxic[owner], len(values))
-    z = (bad - seen * prior) / np.sqrt(seen * prior * (1 - prior) + 1e-9)
-    z[seen < MIN_DOCS] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:TERMS]
-    best = np.sort(best[np.abs(z[best]) >= MIN_Z])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.nan_to_num(bad * np.log(bad / (seen * prior))) + np.nan_to_num((seen - bad) * np.log((seen - bad) / (seen * (1 - prior)))))
+    g[seen < MIN_DOCS] = 0
+    best = np.argsort(-g, kind="stable")[:TERMS]
+    best = np.sort(best[g[best] >= MIN_G])
     if not len(best):
         return none
     at = np.full(len(values), -1)
