@@ -103,7 +103,8 @@ def scores(m: Machine, items: list[bytes]) -> np.ndarray:
             hit = m.terms[at] == h
             pair = np.unique(doc[hit] * len(m.terms) + at[hit])
             doc, at = pair // len(m.terms), pair % len(m.terms)
-            total = np.bincount(doc, m.weight[at], z - a)
+            total = np.zeros(z - a)  # bincount of nothing gives integers
+            total += np.bincount(doc, m.weight[at], z - a)
             for f in range(RANK):
                 total += 0.5 * (np.bincount(doc, m.factor[at, f], z - a) ** 2 - np.bincount(doc, m.factor[at, f] ** 2, z - a))
             out[a:z] += total
