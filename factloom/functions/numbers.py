@@ -87,7 +87,8 @@ def input_numbers(text: Column, sep: Column | None = None) -> Column:
 
 def numbers_of(text: Column) -> Column:
     """Distinct absolute values under both readings."""
-    both = F.concat(*[F.transform(tokens_of(text), lambda t, s=s: F.abs(parse_lenient(t, F.lit(s)))) for s in (".", ",")])
+    reading = lambda sep: F.transform(tokens_of(text), lambda t: F.abs(parse_lenient(t, F.lit(sep))))
+    both = F.concat(reading("."), reading(","))
     return F.array_distinct(F.filter(both, lambda v: v.isNotNull()))
 
 

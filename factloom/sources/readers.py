@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.functions.numbers import parse_strict
 
-DOCUMENT = T.StructType.fromDDL(
+DOCUMENT = (
     "schema_name string, name string, "
     "texts array<struct<label:string,text:string,prov:array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double,coord_origin:string>>>>>, "
     "tables array<struct<prov:array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double,coord_origin:string>>>,data:struct<num_rows:int,num_cols:int,grid:array<array<struct<text:string>>>>>>"
