@@ -147,11 +147,11 @@ def duplicate_conflicts(spark, sf):
     return facts.conflicts(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "l_extendedprice")
 
 
-@query("""WITH u AS (SELECT l_partkey AS part, l_suppkey AS supp, round(l_extendedprice / l_quantity, 2) AS price, (l_shipdate, l_orderkey, l_linenumber) AS pt FROM lineitem),
+@query("""WITH u AS (SELECT l_partkey AS part, l_suppkey AS supp, l_extendedprice AS price, (l_shipdate, l_orderkey, l_linenumber) AS pt FROM lineitem),
  e AS (SELECT part, supp, arg_min(price, pt) AS first_value, arg_max(price, pt) AS last_value, count(DISTINCT price) AS n_values, count(*) AS n_filings FROM u GROUP BY ALL)
  SELECT *, round(abs(last_value - first_value) / nullif(abs(first_value), 0), 6) AS rel_delta, CASE WHEN first_value = -last_value THEN 'sign_flip' ELSE 'value_change' END AS kind FROM e WHERE n_values > 1 AND first_value <> last_value""")
 def restatements(spark, sf):
-    u = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"), "l_shipdate", "l_orderkey", "l_linenumber")
+    u = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"), "l_shipdate", "l_orderkey", "l_linenumber")
     return facts.restatements(u, ["part", "supp"], "price", ["l_shipdate", "l_orderkey", "l_linenumber"])
 
 
