@@ -20,16 +20,17 @@ fingerprint's component. Null ids are in a component but never name it, unless a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import small_batches, staged, texts
+from factloom.llm.common import small_batches, staged, texts, word_hashes, words
 from factloom.llm.components import connected_components
 
 SEED = 42
@@ -38,6 +39,14 @@ BUCKET = 64
 BINS = 4096
 PARTS = (2, 3, 4)
 _CHUNK = 100_000
+#: Bands of min-wise hashes and hashes of a band: a pair of similarity 0.8 shares no band once in 2,900 pairs.
+BANDS, ROWS = 20, 5
+#: Standard deviations beyond the expected distance of a linked pair at which the sieve drops a candidate.
+SIEVE = 4.5
+#: Best-connected members of a bucket with which all others are compared first.
+CENTRES = 2
+NOT_BLANK = np.ones(256, bool)
+NOT_BLANK[[32, *range(9, 14)]] = False
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -215,10 +224,149 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, width: int = 3, most: int = MOST) -> DataFrame:
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles, taken a part of the text at a time."""
+    low = np.frombuffer(text.lower(), np.uint8)
+    starts, ends = words(low, NOT_BLANK)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(low), 1 << 18))
+    w = np.concatenate([word_hashes(low, starts[a:z], ends[a:z]) for a, z in zip(cuts, [*cuts[1:], len(starts)], strict=True)])
+    n = max(1, len(w) - width + 1)
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(min(width, len(w))):
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + w[k : k + n]
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(h ^ (h >> np.uint64(31)))
+
+
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least of each of BANDS * ROWS hashes over a text's shingles."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 4096):
+            np.minimum(least, (shingles[None, at : at + 4096] * _FACTORS).min(axis=1), out=least)
+    return least
+
+
+def _sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the bands, as longs; a bit of each min-wise hash, as two longs."""
+    least = min_hashes(shingles)
+    band = np.arange(BANDS, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (least ^ (least >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        for column in mixed.reshape(BANDS, ROWS).T:
+            band = (band ^ (band >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + column
+    bits = np.zeros(128, np.uint8)
+    bits[: len(mixed)] = mixed >> np.uint64(63)
+    return band.view(np.int64), np.packbits(bits).view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, row, key, n, bands, b0, b1) for each row: hash of the text, digest of its set of shingles, size
+    of that, sketch."""
+    small_batches(docs.sparkSession, 256)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, width) for t in texts(b)]
+            made = [_sketch(x) for x in sets]
+            cols = {
+                "doc": b.column("doc"),
+                "row": b.column("row"),
+                "key": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                "n": pa.array(map(len, sets), pa.int64()),
+                "bands": pa.array([m for m, _ in made], pa.list_(pa.int64())),
+                "b0": pa.array([int(f[0]) for _, f in made], pa.int64()),
+                "b1": pa.array([int(f[1]) for _, f in made], pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    narrow = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
+    return narrow.mapInArrow(run, f"doc {narrow.schema['doc'].dataType.simpleString()}, row long, key binary, n long, bands array<long>, b0 long, b1 long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Those of pairs (a, b) of classes whose texts are similar."""
+    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    homes = classes.join(asked, "key", "left_semi").select("key", F.col("first.doc").alias("home"), F.col("first.row").alias("home_row"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
+    # a row that repeats id and text only repeats an edge
+    held = staged(rows.join(homes, F.col("doc").eqNullSafe(F.col("home")) & (F.col("row") == F.col("home_row"))).select("key", "text"))
+    side = lambda name: held.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, left = None, None
+        for b in batches:
+            keep = []
+            for key, x, y in zip(b.column("a").to_pylist(), texts(b, "text_a"), texts(b, "text_b"), strict=True):
+                if key != seen:
+                    seen, left = key, shingle_set(x, width)
+                right = shingle_set(y, width)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(both >= similarity * (len(left) + len(right) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+
+
+def similar_edges(classes: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (a, b) between keys of classes, whose components are those of all similar pairs that share a
+    band. In each bucket all members are compared with its CENTRES; after that, those that are still
+    outside the bucket's largest component are compared with all members of other components."""
+    far = BANDS * ROWS * (1 - similarity) / 2
+    far += SIEVE * (far * (1 + similarity) / 2) ** 0.5
+    met = classes.where("n > 0").select("key", "n", "b0", "b1", F.explode("bands").alias("at"))
+    shared = met.groupBy("at").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = staged(met.join(shared, "at"))
+    weight = met.groupBy("key").agg(F.sum("size").alias("weight"))
+    member = lambda: F.struct("key", "n", "b0", "b1")
+    near = lambda x, y: (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * similarity) & (F.bit_count(x["b0"].bitwiseXOR(y["b0"])) + F.bit_count(x["b1"].bitwiseXOR(y["b1"])) <= far)
+    ordered = [F.least(F.col("x.key"), F.col("y.key")).alias("a"), F.greatest(F.col("x.key"), F.col("y.key")).alias("b")]
+
+    ranked = met.join(weight, "key")
+    best = F.max(F.struct("weight", "key", "n", "b0", "b1"))
+    centre = ranked.groupBy("at").agg(best.alias("x"))
+    centres = centre
+    for _ in range(CENTRES - 1):
+        others = ranked.join(centres.select("at", F.col("x.key").alias("key")), ["at", "key"], "left_anti")
+        centres = centres.union(others.groupBy("at").agg(best.alias("x")))
+    first = staged(centres.join(met.select("at", member().alias("y")), "at").where((F.col("x.key") != F.col("y.key")) & near(F.col("x"), F.col("y"))).select(*ordered).distinct())
+    linked = staged(_verified(first, classes, docs, width, similarity, id_col, text_col))
+
+    roots = connected_components(linked).distinct()
+    now = staged(met.select("at", member().alias("y")).join(roots, F.col("y.key") == F.col("node"), "left").select("at", "y", F.coalesce("root", "y.key").alias("part")))
+    parts = now.groupBy("at", "part").agg(F.count(F.lit(1)).alias("in_part"))
+    open_ = parts.groupBy("at").agg(F.max(F.struct("in_part", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1").select("at", "main")
+    still = now.join(open_, "at")
+    strays = still.where("part <> main").select("at", F.col("y").alias("x"), F.col("part").alias("of"))
+    rest = strays.join(still, "at").where((F.col("of") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x.key") < F.col("y.key"))) & near(F.col("x"), F.col("y")))
+    second = staged(rest.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"))
+    return linked.union(_verified(second, classes, docs, width, similarity, id_col, text_col))
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, component) for each row of docs: component is the least id among the texts that a chain of
+    similar ones reaches. Texts with the same set of shingles are one before any link is sought; texts
+    without words are alike."""
+    made = staged(sketches(docs, width, id_col, text_col))
+    one = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "row"))
+    classes = staged(made.groupBy("key").agg(one.alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "b0", "b1"))))
+    roots = connected_components(similar_edges(classes, docs, width, similarity, id_col, text_col)).distinct()
+    linked = classes.select("key", F.col("first.doc").alias("least")).join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    named = linked.groupBy("root").agg(F.min("least").alias("component"))
+    found = linked.join(named, "root").select(F.col("key").alias("_key"), "component")
+    return made.select("doc", "key").join(found, F.col("key") == F.col("_key")).select("doc", "component")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without those that are not their component's least doc_id. Rows that repeat an id are
     one document: one of them, the least text, stays. Rows without an id all stay."""
-    named = near_duplicates(docs, width, most)
+    named = similar_documents(docs, width, similarity)
     reps = named.where("doc = component").groupBy("doc").agg(F.count(F.lit(1)).alias("_times")).withColumnRenamed("doc", "_rep")
     met = docs.join(reps, F.col("doc_id") == F.col("_rep"))
     single = met.where("_times = 1").select(*docs.columns)

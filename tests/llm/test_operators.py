@@ -159,10 +159,60 @@ def test_simhash(spark, odd, empty):
     got = [tuple(r) for r in simhash.near_duplicate_report(df).select("doc_id", "fingerprint", "component_id").collect()]
     assert Counter(got) == Counter(want)
     assert simhash.near_duplicate_report(empty).count() == 0
-    kept = simhash.one_of_each(odd, 5)
+    kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 1 and kept.where("doc_id is null").count() == 2
 
 
+def similar_components(data, width=5, similarity=0.8):
+    """(doc_id, component) by comparing all pairs of texts."""
+    sets = []
+    for _, t in data:
+        w = re.findall("[^ \t\n\x0b\x0c\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
+    at = {s: k for k, s in enumerate(dict.fromkeys(sets))}
+    root = list(range(len(at)))
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for (x, i), (y, j) in itertools.combinations(at.items(), 2):
+        if x and y and min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(x & y) >= similarity * len(x | y):
+            root[find(i)] = find(j)
+    least = {}
+    for (i, _), s in zip(data, sets, strict=True):
+        if i is not None:
+            c = find(at[s])
+            least[c] = min(i, least.get(c, i))
+    return [(i, least.get(find(at[s]))) for (i, _), s in zip(data, sets, strict=True)]
+
+
+def test_similar_documents(spark, odd, empty):
+    df = docs(spark).select("doc_id", "text").union(odd.select("doc_id", "text"))
+    got = [tuple(r) for r in simhash.similar_documents(df).select("doc", "component").collect()]
+    assert Counter(got) == Counter(similar_components([(r["doc_id"], r["text"]) for r in df.collect()]))
+    assert simhash.similar_documents(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+
+
+def test_similar_through_others(spark):
+    """Copies that only their original, or only a chain of copies, links: none is near the smallest key alone."""
+    rng = np.random.default_rng(3)
+    text = lambda w: " ".join(map(str, w))
+    base = [f"w{i}" for i in range(200)]
+    data = [text(base)]
+    for _ in range(60):
+        w = list(base)
+        at = int(rng.integers(0, 190))
+        w[at : at + 10] = [f"x{rng.integers(1 << 30)}" for _ in range(10)]
+        data.append(text(w))
+    chain = [f"c{i}" for i in range(120)]
+    for k in range(12):
+        chain = chain[8:] + [f"d{k} {j}" for j in range(4)]
+        data.append(text(chain))
+    rows_ = list(enumerate(data))
+    got = {tuple(r) for r in simhash.similar_documents(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert got == set(similar_components(rows_))
+
+
 @pytest.mark.parametrize("bucket", [1, 3, 64])
 def test_links_are_whole(spark, bucket):
     rng = np.random.default_rng(bucket)
@@ -415,8 +465,7 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in frames[0]} == keep and all(r["text"] == d[r["doc_id"]]["text"] for r in frames[0])
     want = {i: (n, h) for i, _, n, h in brute_lines(frames[0])}
     assert all(hashlib.sha256(r["text"].encode()).hexdigest() == want[r["doc_id"]][1] and r["n_chars"] == len(r["text"]) for r in frames[1]) and len(frames[1]) == len(frames[0])
-    comp = held_components([r["doc_id"] for r in frames[1]], [brute_fp(r["text"], 5) for r in frames[1]])
-    assert {r["doc_id"] for r in frames[2]} == {i for i, _, c in comp if i == c}
+    assert {r["doc_id"] for r in frames[2]} == {i for i, c in similar_components([(r["doc_id"], r["text"]) for r in frames[1]]) if i == c}
     items = [(r["item_id"], r["text"]) for r in docs(spark, "benchmark").collect()]
     assert {r["doc_id"] for r in frames[3]} == {r["doc_id"] for r in frames[2] if not brute_hits(r["text"], items)[4]}
     times = Counter(r["doc_id"] for r in frames[4])
