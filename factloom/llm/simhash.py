@@ -45,6 +45,8 @@ BANDS, ROWS = 20, 5
 SIEVE = 4.5
 #: Best-connected members of a bucket with which all others are compared first.
 CENTRES = 2
+#: Bins of the table that tells rare shingles from common ones.
+ORDER_BINS = 1 << 20
 NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[32, *range(9, 14)]] = False
 
@@ -290,13 +292,15 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     return narrow.mapInArrow(run, f"doc {narrow.schema['doc'].dataType.simpleString()}, row long, key binary, n long, bands array<long>, b0 long, b1 long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Those of pairs (a, b) of classes whose texts are similar."""
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def _homes(asked: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text): a text of each class whose key is in `asked`. A row that repeats id and text repeats here."""
     homes = classes.join(asked, "key", "left_semi").select("key", F.col("first.doc").alias("home"), F.col("first.row").alias("home_row"))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
-    # a row that repeats id and text only repeats an edge
-    held = staged(rows.join(homes, F.col("doc").eqNullSafe(F.col("home")) & (F.col("row") == F.col("home_row"))).select("key", "text"))
+    return staged(rows.join(homes, F.col("doc").eqNullSafe(F.col("home")) & (F.col("row") == F.col("home_row"))).select("key", "text"))
+
+
+def _verified(pairs: DataFrame, held: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) of classes whose texts, from `held`, are similar."""
     side = lambda name: held.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,17 +318,58 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def shingle_counts(held: DataFrame, width: int) -> np.ndarray:
+    """How many texts of `held` have a shingle of each of ORDER_BINS bins: a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_BINS, np.int64)
+        for b in batches:
+            for t in texts(b):
+                np.add.at(total, shingle_set(t, width) % np.uint64(ORDER_BINS), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["i", "n"])
+
+    found = held.select("text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(ORDER_BINS, np.int64)
+    out[found.column("i").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def rare_prefixes(held: DataFrame, counts: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """(key, h, place): the rarest shingles of each text, so many that two similar texts share one. Any
+    order of the shingles that all texts keep is right; the rarest first gives the fewest meetings."""
+    shared = held.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in texts(b):
+                x = shingle_set(t, width)
+                rarest = np.lexsort((x, shared.value[x % np.uint64(ORDER_BINS)]))
+                sets.append(x[rarest[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]])
+            sizes = [len(x) for x in sets]
+            cols = {
+                "key": b.column("key").take(pa.array(np.repeat(np.arange(len(sets)), sizes), pa.int64())),
+                "h": pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64), pa.int64()),
+                "place": pa.array(np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)]), pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return held.mapInArrow(run, "key binary, h long, place long")
+
+
 def similar_edges(classes: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Edges (a, b) between keys of classes, whose components are those of all similar pairs that share a
-    band. In each bucket all members are compared with its CENTRES; after that, those that are still
-    outside the bucket's largest component are compared with all members of other components."""
+    band. In each bucket all members are compared with its CENTRES. Members of buckets that are then still
+    of several components meet over their rarest shingles instead, of which similar texts share one, so a
+    passage that many texts have brings none of them together; pairs of two components are compared,
+    but for those of two members of their buckets' largest ones."""
     far = BANDS * ROWS * (1 - similarity) / 2
     far += SIEVE * (far * (1 + similarity) / 2) ** 0.5
     met = classes.where("n > 0").select("key", "n", "b0", "b1", F.explode("bands").alias("at"))
     shared = met.groupBy("at").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = staged(met.join(shared, "at"))
     weight = met.groupBy("key").agg(F.sum("size").alias("weight"))
-    member = lambda: F.struct("key", "n", "b0", "b1")
     near = lambda x, y: (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * similarity) & (F.bit_count(x["b0"].bitwiseXOR(y["b0"])) + F.bit_count(x["b1"].bitwiseXOR(y["b1"])) <= far)
     ordered = [F.least(F.col("x.key"), F.col("y.key")).alias("a"), F.greatest(F.col("x.key"), F.col("y.key")).alias("b")]
 
@@ -335,18 +380,28 @@ def similar_edges(classes: DataFrame, docs: DataFrame, width: int, similarity: f
     for _ in range(CENTRES - 1):
         others = ranked.join(centres.select("at", F.col("x.key").alias("key")), ["at", "key"], "left_anti")
         centres = centres.union(others.groupBy("at").agg(best.alias("x")))
-    first = staged(centres.join(met.select("at", member().alias("y")), "at").where((F.col("x.key") != F.col("y.key")) & near(F.col("x"), F.col("y"))).select(*ordered).distinct())
-    linked = staged(_verified(first, classes, docs, width, similarity, id_col, text_col))
+    members = met.select("at", F.struct("key", "n", "b0", "b1").alias("y"))
+    first = staged(centres.join(members, "at").where((F.col("x.key") != F.col("y.key")) & near(F.col("x"), F.col("y"))).select(*ordered).distinct())
+    asked = first.select(F.col("a").alias("key")).union(first.select("b")).distinct()
+    linked = staged(_verified(first, _homes(asked, classes, docs, id_col, text_col), width, similarity))
 
     roots = connected_components(linked).distinct()
-    now = staged(met.select("at", member().alias("y")).join(roots, F.col("y.key") == F.col("node"), "left").select("at", "y", F.coalesce("root", "y.key").alias("part")))
+    now = staged(members.join(roots, F.col("y.key") == F.col("node"), "left").select("at", "y", F.coalesce("root", "y.key").alias("part")))
     parts = now.groupBy("at", "part").agg(F.count(F.lit(1)).alias("in_part"))
     open_ = parts.groupBy("at").agg(F.max(F.struct("in_part", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1").select("at", "main")
-    still = now.join(open_, "at")
-    strays = still.where("part <> main").select("at", F.col("y").alias("x"), F.col("part").alias("of"))
-    rest = strays.join(still, "at").where((F.col("of") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x.key") < F.col("y.key"))) & near(F.col("x"), F.col("y")))
+    still = staged(now.join(open_, "at").groupBy("y", "part").agg(F.max(F.col("part") != F.col("main")).alias("stray")).select("y.key", "y", "part", "stray"))
+    held = _homes(still, classes, docs, id_col, text_col)
+    rare = staged(rare_prefixes(held, shingle_counts(held, width), width, similarity).distinct().join(still, "key").drop("key"))
+    across = rare.groupBy("h").agg(F.max("stray").alias("any_stray"), F.min("part").alias("p"), F.max("part").alias("q")).where("any_stray and p < q").select("h")
+    # a text's shingles before a shared one count only if another component has them; all after it may count
+    before = F.row_number().over(Window.partitionBy("y.key").orderBy("place")) - 1
+    told = staged(rare.join(across, "h").withColumn("before", before).withColumn("after", F.col("y.n") - F.col("place")))
+    x = told.where("stray").select("h", F.col("y").alias("x"), F.col("part").alias("of"), F.col("before").alias("x_before"), F.col("after").alias("x_after"))
+    y = told.select("h", "y", "part", "stray", "before", "after")
+    enough = F.least("x_before", "before") + F.least("x_after", "after") >= (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9
+    rest = x.join(y, "h").where((F.col("of") != F.col("part")) & (~F.col("stray") | (F.col("x.key") < F.col("y.key"))) & enough & near(F.col("x"), F.col("y")))
     second = staged(rest.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"))
-    return linked.union(_verified(second, classes, docs, width, similarity, id_col, text_col))
+    return linked.union(_verified(second, held, width, similarity))
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
