@@ -47,6 +47,8 @@ SIEVE = 4.5
 CENTRES = 2
 #: Bins of the table that tells rare shingles from common ones.
 ORDER_BINS = 1 << 20
+#: Shared shingles just before one that are looked at, so that a pair is not made once more for each.
+LAST = 16
 NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[32, *range(9, 14)]] = False
 
@@ -394,12 +396,15 @@ def similar_edges(classes: DataFrame, docs: DataFrame, width: int, similarity: f
     rare = staged(rare_prefixes(held, shingle_counts(held, width), width, similarity).distinct().join(still, "key").drop("key"))
     across = rare.groupBy("h").agg(F.max("stray").alias("any_stray"), F.min("part").alias("p"), F.max("part").alias("q")).where("any_stray and p < q").select("h")
     # a text's shingles before a shared one count only if another component has them; all after it may count
-    before = F.row_number().over(Window.partitionBy("y.key").orderBy("place")) - 1
-    told = staged(rare.join(across, "h").withColumn("before", before).withColumn("after", F.col("y.n") - F.col("place")))
-    x = told.where("stray").select("h", F.col("y").alias("x"), F.col("part").alias("of"), F.col("before").alias("x_before"), F.col("after").alias("x_after"))
-    y = told.select("h", "y", "part", "stray", "before", "after")
+    in_order = Window.partitionBy("y.key").orderBy("place")
+    before, last = F.row_number().over(in_order) - 1, F.collect_list("h").over(in_order.rowsBetween(-LAST, -1))
+    told = staged(rare.join(across, "h").withColumns({"before": before, "last": last, "after": F.col("y.n") - F.col("place")}))
+    x = told.where("stray").select("h", F.col("y").alias("x"), F.col("part").alias("of"), *(F.col(c).alias(f"x_{c}") for c in ("before", "last", "after")))
+    y = told.select("h", "y", "part", "stray", "before", "last", "after")
     enough = F.least("x_before", "before") + F.least("x_after", "after") >= (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9
-    rest = x.join(y, "h").where((F.col("of") != F.col("part")) & (~F.col("stray") | (F.col("x.key") < F.col("y.key"))) & enough & near(F.col("x"), F.col("y")))
+    # the first shingle that a pair shares always brings it; one shortly after another shared one need not
+    first_met = ~F.arrays_overlap("x_last", "last")
+    rest = x.join(y, "h").where((F.col("of") != F.col("part")) & (~F.col("stray") | (F.col("x.key") < F.col("y.key"))) & enough & near(F.col("x"), F.col("y")) & first_met)
     second = staged(rest.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"))
     return linked.union(_verified(second, held, width, similarity))
 
