@@ -472,3 +472,15 @@ def test_pipeline(spark):
     assert set(times) <= {r["doc_id"] for r in frames[3]} and max(times.values()) <= 2
     final = corpus_pipeline.run(spark, SF)
     assert Counter(r["doc_id"] for r in final.collect()) == times and set(final.columns) == {*docs(spark).columns, "copy"}
+
+
+def test_one_item_is_enough_to_drop(spark):
+    bench = {r["item_id"]: r["text"] for r in docs(spark, "benchmark").collect()}
+    item = max(bench.values(), key=len)
+    data = [(1, f"before {item} after"), (2, "clean words of no test item at all, nine or more"), (3, item), (4, None), (5, " ".join(item.split()[:7])), (6, f"{item} {min(bench.values(), key=len)}")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = {i for i, t in data if not brute_hits(t, list(bench.items()))[2]}
+    assert want == {2, 4, 5}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, df, SF).collect()} == want
+    op8 = {r["doc_id"] for r in decontaminate.contamination_report(df, docs(spark, "benchmark")).where("contaminated").collect()}
+    assert op8 == {i for i, t in data if brute_hits(t, list(bench.items()))[4]}
