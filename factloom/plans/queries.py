@@ -368,7 +368,7 @@ def bm25_topk(spark, sf):
     return _lexical(spark, sf).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
-# Queries of the dense searches: the vectors of label 0 with the ten smallest ids, a stated set of ten.
+# Queries of dense_topk and rrf_fuse: the vectors with the ten smallest ids, as their SQL states.
 DENSE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id AS id, e, sqrt(list_dot_product(e, e)) AS size FROM v), q AS (SELECT * FROM u ORDER BY id LIMIT 10),
  den AS (SELECT q.id AS qid, u.id, list_dot_product(q.e, u.e) / (q.size * u.size) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.e, u.e) / (q.size * u.size), 8) DESC, u.id) AS rank FROM q, u WHERE list_dot_product(q.e, u.e) / (q.size * u.size) > 0.2 QUALIFY rank <= 10)"""
 
@@ -397,7 +397,10 @@ def rrf_fuse(spark, sf):
 
 @query()
 def mmr_select(spark, sf):
-    near = _dense(spark, sf).join(_vectors(spark, sf), "id").select("qid", "id", F.col("score").alias("rel"), "vec")
+    """Over every vector whose id is divisible by 50."""
+    v = _vectors(spark, sf)
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    near = retrieval.dense_best(asked, v, 10, 0.2).join(v, "id").select("qid", "id", F.col("score").alias("rel"), "vec")
     return retrieval.mmr(near, 3, 0.5)
 
 

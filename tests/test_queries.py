@@ -1,8 +1,10 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__
+from factloom.operators import retrieval
 from factloom.plans import queries
 from tests.oracle import difference, duck
 
@@ -26,3 +28,24 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_every_fiftieth_vector_is_asked(spark, con, monkeypatch):
+    ids, vecs = zip(*con.sql("select vec_id, embedding from embeddings order by 1").fetchall())
+    vecs = np.array(vecs, float)
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    want = {}
+    for q in (i for i in ids if i % 50 == 0):
+        score = (vecs @ vecs[ids.index(q)]).round(8)
+        best = sorted((-s, i) for s, i in zip(score, ids) if s > 0.2)[:10]
+        want[q] = [(i, -s) for s, i in best]
+    for asked, held in ((512, 8192), (3, 70)):
+        monkeypatch.setattr(retrieval, "ASKED", asked)
+        monkeypatch.setattr(retrieval, "HELD", held)
+        v = queries._vectors(spark, SF)
+        got = retrieval.dense_best(v.where("id % 50 = 0").selectExpr("id qid", "vec qvec"), v, 10, 0.2).collect()
+        for q, best in want.items():
+            mine = sorted((r["rank"], r["id"], r["score"]) for r in got if r["qid"] == q)
+            assert [i for _, i, _ in mine] == [i for i, _ in best] and np.allclose([s for *_, s in mine], [s for _, s in best])
+        assert {r["qid"] for r in got} == set(want)
+    assert {r["qid"] for r in queries.QUERIES["mmr_select"](spark, SF).collect()} == {q for q, best in want.items() if best}
