@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import small_batches, staged, texts, word_hashes, words
+from factloom.llm.common import NOT_SPACE, small_batches, staged, texts, word_hashes, words
 from factloom.llm.components import connected_components
 
 SEED = 42
@@ -410,10 +410,8 @@ def similar_edges(classes: DataFrame, docs: DataFrame, width: int, similarity: f
     return linked.union(_verified(second, held, width, similarity))
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, component) for each row of docs: component is the least id among the texts that a chain of
-    similar ones reaches. Texts with the same set of shingles are one before any link is sought; texts
-    without words are alike."""
+def _components(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc, row, component) for each row of docs; row is the hash of its text."""
     made = staged(sketches(docs, width, id_col, text_col))
     one = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "row"))
     classes = staged(made.groupBy("key").agg(one.alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "b0", "b1"))))
@@ -421,16 +419,27 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     linked = classes.select("key", F.col("first.doc").alias("least")).join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
     found = linked.join(named, "root").select(F.col("key").alias("_key"), "component")
-    return made.select("doc", "key").join(found, F.col("key") == F.col("_key")).select("doc", "component")
+    return made.select("doc", "row", "key").join(found, F.col("key") == F.col("_key")).select("doc", "row", "component")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, component) for each row of docs: component is the least id among the texts that a chain of
+    similar ones reaches. Texts with the same set of shingles are one before any link is sought; texts
+    without words are alike."""
+    return _components(docs, width, similarity, id_col, text_col).select("doc", "component")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without those that are not their component's least doc_id. Rows that repeat an id are
-    one document: one of them, the least text, stays. Rows without an id all stay."""
-    named = similar_documents(docs, width, similarity)
-    reps = named.where("doc = component").groupBy("doc").agg(F.count(F.lit(1)).alias("_times")).withColumnRenamed("doc", "_rep")
-    met = docs.join(reps, F.col("doc_id") == F.col("_rep"))
+    """docs without those that are not their component's least doc_id. Rows that repeat an id are decided
+    by their own texts; of those that would stay one does, as they are one document: the least text,
+    one with words if any has some. Rows without an id all stay."""
+    named = _components(docs, width, similarity, "doc_id", "text")
+    kept = named.where("doc = component").groupBy("doc", "row").agg(F.count(F.lit(1)).alias("_n"))
+    times = kept.groupBy("doc").agg(F.sum("_n").alias("_times")).withColumnRenamed("doc", "_id")
+    reps = kept.join(times, F.col("doc") == F.col("_id")).select(F.col("doc").alias("_rep"), F.col("row").alias("_row"), "_times")
+    met = docs.join(reps, (F.col("doc_id") == F.col("_rep")) & (F.xxhash64("text") == F.col("_row")))
     single = met.where("_times = 1").select(*docs.columns)
-    repeated = met.where("_times > 1").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
+    no_words = ~F.coalesce(F.col("text").rlike(NOT_SPACE), F.lit(False))
+    repeated = met.where("_times > 1").groupBy("doc_id").agg(F.min(F.struct(no_words.alias("_none"), *[c for c in docs.columns if c != "doc_id"])).alias("_row"))
     again = repeated.select(*[F.col(c) if c == "doc_id" else F.col(f"_row.{c}") for c in docs.columns])
     return single.unionByName(again).unionByName(docs.where("doc_id is null"))

@@ -484,3 +484,11 @@ def test_one_item_is_enough_to_drop(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, df, SF).collect()} == want
     op8 = {r["doc_id"] for r in decontaminate.contamination_report(df, docs(spark, "benchmark")).where("contaminated").collect()}
     assert op8 == {i for i, t in data if brute_hits(t, list(bench.items()))[4]}
+
+
+def test_rows_that_repeat_an_id_are_decided_by_their_texts(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    data = [(1, text("a")), (2, text("b")), (2, text("a") + " more"), (3, None), (3, text("c")), (4, text("d")), (4, text("d")), (5, text("e")), (6, text("e") + " x"), (None, text("f"))]
+    kept = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    # the near copy of 1 under id 2 goes; of id 3 the text with words stays
+    assert Counter(map(tuple, kept)) == Counter([(1, text("a")), (2, text("b")), (3, text("c")), (4, text("d")), (5, text("e")), (None, text("f"))])
