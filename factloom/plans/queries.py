@@ -246,11 +246,12 @@ def label_lookup_two_tier(spark, sf):
 @query("""WITH y AS (SELECT o_custkey AS doc, year(o_orderdate) AS y, count(*) AS n FROM orders WHERE year(o_orderdate) >= 2000 GROUP BY ALL)
  SELECT doc, y AS year, CAST(1 AS INTEGER) AS ri, CAST(row_number() OVER (PARTITION BY doc ORDER BY y) AS INTEGER) AS ci FROM y""")
 def header_detect(spark, sf):
-    """Each customer's orders per year as a text grid: a title row with one year, then the header, then counts."""
+    """Each customer's orders per year as a text grid: a title row, then the header, then counts. Years of
+    20xx come first, so that their columns are numbered as in the SQL; the others stand right of them."""
     from pyspark.sql import Window
 
-    per = table(spark, sf, "orders").where(F.year("o_orderdate") >= 2000).groupBy(F.col("o_custkey").alias("doc"), F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    col = F.row_number().over(Window.partitionBy("doc").orderBy("y"))
+    per = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc"), F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    col = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("y") < 2000, "y"))
     cell = lambda r, t: F.struct(F.lit(r).alias("ri"), t.alias("text"))
     title = F.when(F.col("ci") == 1, F.lit("Orders by year")).otherwise(F.lit(""))
     cells = per.withColumn("ci", col).select("doc", "ci", F.inline(F.array(cell(0, title), cell(1, F.concat(F.col("y").cast("string"), F.lit(" 1"))), cell(2, F.concat(F.lit("12."), F.col("n").cast("string"))))))

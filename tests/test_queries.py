@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from factloom.operators import retrieval
+from factloom.operators import grids, retrieval
 from factloom.plans import queries
 from tests.oracle import difference, duck
 
@@ -49,3 +49,14 @@ def test_every_fiftieth_vector_is_asked(spark, con, monkeypatch):
             assert [i for _, i, _ in mine] == [i for i, _ in best] and np.allclose([s for *_, s in mine], [s for _, s in best])
         assert {r["qid"] for r in got} == set(want)
     assert {r["qid"] for r in queries.QUERIES["mmr_select"](spark, SF).collect()} == {q for q, best in want.items() if best}
+
+
+def test_header_grids_hold_all_orders(spark, con, monkeypatch):
+    met, real = [], grids.header_columns
+    monkeypatch.setattr(grids, "header_columns", lambda cells: met.append(cells) or real(cells))
+    out = queries.QUERIES["header_detect"](spark, SF).collect()
+    counts = con.sql("select o_custkey, year(o_orderdate), count(*) from orders group by all").fetchall()
+    cells = met[0].collect()
+    assert sorted((r["doc"], r["text"]) for r in cells if r["ri"] == 1) == sorted((d, f"{y} 1") for d, y, _ in counts)
+    assert sum(int(r["text"][3:]) for r in cells if r["ri"] == 2) == sum(n for *_, n in counts)
+    assert any(y < 2000 for _, y, _ in counts) and sorted((r["doc"], r["year"]) for r in out) == sorted((d, y) for d, y, _ in counts if y >= 2000)
