@@ -16,6 +16,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+HEX_PART = r"[0-9a-fA-F]{20,}"
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b64")
 BASE = 3
@@ -88,14 +89,18 @@ def _windows(word: Column, kind: str) -> Column:
 
 
 def _random(text: Column) -> Column:
-    """Array of (start, end, kind) of the random-looking parts of candidate strings."""
-    tokens = _found(text, TOKEN, lambda w: ~w.rlike("|".join(f"(?:{p})" for p in ALLOWED)))
+    """Array of (start, end, kind) of the random-looking parts of candidate strings: of each as a whole, and
+    of the maximal stretches of hex in those that have other characters too."""
+    secret = lambda w: ~w.rlike("|".join(f"(?:{p})" for p in ALLOWED))
+    tokens = _found(text, TOKEN, secret)
     hexed = lambda t: t["word"].rlike("^[0-9a-fA-F]+$")
     scored = F.transform(
         tokens,
         lambda t: F.struct(t["start"].alias("start"), F.when(hexed(t), F.lit(3)).otherwise(F.lit(4)).alias("kind"), F.when(hexed(t), _windows(t["word"], "hex")).otherwise(_windows(t["word"], "b64")).alias("w")),
     )
-    good = F.filter(scored, lambda t: t["w"]["lo"].isNotNull())
+    moved = lambda t: F.transform(_found(t["word"], HEX_PART, secret), lambda h: F.struct((t["start"] + h["start"]).alias("start"), F.lit(3).alias("kind"), _windows(h["word"], "hex").alias("w")))
+    inside = F.flatten(F.transform(F.filter(tokens, lambda t: ~hexed(t) & t["word"].rlike(HEX_PART)), moved))
+    good = F.filter(F.concat(scored, inside), lambda t: t["w"]["lo"].isNotNull())
     return F.transform(good, lambda t: F.struct((t["start"] + t["w"]["lo"]).alias("start"), t["kind"].alias("kind"), (t["start"] + t["w"]["hi"]).alias("end")))
 
 

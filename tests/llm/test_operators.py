@@ -492,3 +492,11 @@ def test_rows_that_repeat_an_id_are_decided_by_their_texts(spark):
     kept = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
     # the near copy of 1 under id 2 goes; of id 3 the text with words stays
     assert Counter(map(tuple, kept)) == Counter([(1, text("a")), (2, text("b")), (3, text("c")), (4, text("d")), (5, text("e")), (None, text("f"))])
+
+
+def test_hex_inside_a_longer_candidate(spark):
+    key = "9233A8EC07D14B6F5E1C9233A8EC07D1"
+    data = [(1, f"KEY={key} x"), (2, f"see /{key}"), (3, "id=12345678901234567890"), (4, key)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in secrets.secret_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert "entropy_hex:4:36" in got[1] and "entropy_hex:5:37" in got[2] and got[4] == ["entropy_hex:0:32"]
+    assert not any("entropy_hex" in x for x in got[3])
