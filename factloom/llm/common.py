@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a temporary one serves a local master,
+    whose executors are this process; any other master is refused, as its executors would not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(scratch, "own", None) or tempfile.mkdtemp(prefix="factloom-")
         scratch.own = folder
     return folder.rstrip("/")
@@ -51,12 +54,53 @@ def unstage(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's Arrow batch size to `rows`, so a batch of long texts stays bounded."""
+    """Lowers the session's Arrow batch size to `rows`, so a batch of long texts stays bounded. It stays so: the
+    setting is read when the frame runs, which is after the operator has returned it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
 
 
+def set_aside(docs: DataFrame, *own: str):
+    """(frame, give_back) for an operator that works on the columns `own`: the frame has these, and all others of
+    docs in one struct, so that no name of theirs meets a name of the operator's. give_back(out, added) puts them
+    back in their order, then the columns `added`; one whose name docs has already gets underscores in front."""
+    others = [c for c in docs.columns if c not in own]
+    inner = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys(own)), *([F.struct(*(F.col(f"`{c}`") for c in others)).alias(_ASIDE)] if others else []))
+
+    def give_back(out: DataFrame, added: tuple = (), gone: tuple = ()) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        place = lambda c: F.col(f"`{c}`") if c in own else F.col(f"{_ASIDE}.`{c}`")
+        new = []
+        for c in added:
+            name = c
+            while name.lower() in taken:
+                name = f"_{name}"
+            taken.add(name.lower())
+            new.append(F.col(c).alias(name))
+        return out.select(*(place(c).alias(c) for c in docs.columns if c not in gone), *new)
+
+    return inner, give_back
+
+
+_ASIDE = "_factloom_others"
+#: Keys that hold over a ten-thousandth of all rows, and over HOT_ROWS, are hot: there are fewer than HOT_KEYS.
+HOT_KEYS, HOT_ROWS = 10_000, 1000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """The hot keys of counts (key, n), n rows of `total`: fewer than HOT_KEYS rows, so small enough to broadcast."""
+    return counts.where(F.col("n") > max(HOT_ROWS, total / HOT_KEYS)).select(key)
+
+
+def join_split(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """`many` joined with `one`, which has one row a key: rows of a hot key stay where they are and meet that key's
+    row by broadcast, all others are dealt out by key. No key's rows gather in one task."""
+    h = F.broadcast(hot)
+    stay = many.join(h, key, "left_semi").join(F.broadcast(one.join(h, key, "left_semi")), key, how)
+    return many.join(h, key, "left_anti").join(one.join(h, key, "left_anti"), key, how).unionByName(stay)
+
+
 def with_fields(df: DataFrame, ddl: str, without: tuple = ()) -> T.StructType:
     """df's schema without some columns and with those of `ddl`."""
     return T.StructType([*(f for f in df.schema if f.name not in without), *T.StructType.fromDDL(ddl)])

@@ -500,3 +500,15 @@ def test_hex_inside_a_longer_candidate(spark):
     got = {r["doc_id"]: r["spans"].split(",") for r in secrets.secret_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert "entropy_hex:4:36" in got[1] and "entropy_hex:5:37" in got[2] and got[4] == ["entropy_hex:0:32"]
     assert not any("entropy_hex" in x for x in got[3])
+
+
+def test_secrets_in_a_long_text(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("ABCDEFghijklmnop0123456789+/"), 30)) for _ in range(900)]
+    words[7::90] = [f"password={w}" for w in words[7::90]]
+    words[300::2] = ["deadbeef" * 3] * 300
+    data = [(1, " ".join(words)), (2, "x " * 5000), (3, "\n".join(words[:257]))]
+    got = {r["doc_id"]: r for r in secrets.secret_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, t in data:
+        assert (got[i]["base_sha256"], got[i]["spans"]) == spans_of(t)
+    assert got[1]["spans"].count("entropy_b64") > 200
