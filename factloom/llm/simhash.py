@@ -15,7 +15,9 @@ size of the group. (This exact way is for most = 2; most < 2 keeps it with a che
 
 Null texts count as empty; texts without words have fingerprint zero, linked like any other. Rows that
 repeat an id share whatever component the id's least fingerprint group gives: each row keeps its own
-fingerprint's component. Null ids are in a component but never name it, unless all its ids are null.
+fingerprint's component. Null ids are in a component but never name it, unless all its ids are null. Very long
+texts are hashed a part at a time. Ties at half of the shingles leave the bit 0. Columns other than id and text are
+not read by the report and pass through one_of_each, whatever their names. Jobs run when the functions are called.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import NOT_SPACE, small_batches, staged, texts, word_hashes, words
+from factloom.llm.common import NOT_SPACE, hot_keys, join_split, set_aside, small_batches, staged, texts, word_hashes, words
 from factloom.llm.components import connected_components
 
 SEED = 42
@@ -215,13 +217,13 @@ def near_edges(distinct: DataFrame, most: int = MOST, bucket: int = BUCKET) -> D
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp, component) for each row of docs."""
     fps = staged(fingerprints(docs, width, id_col, text_col))
-    classes = staged(fps.groupBy("fp").agg(F.min("doc").alias("least")))
+    classes = staged(fps.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_edges(classes, most))
     linked = roots.join(classes, F.col("node") == F.col("fp")).select("node", "root", "least")
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(named, "root").select("node", "component")
-    all_classes = classes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("component"))
-    return fps.join(all_classes, F.col("fp") == F.col("_fp")).drop("_fp")
+    all_classes = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component"))
+    return join_split(fps, all_classes, "fp", hot_keys(classes, "fp", fps.count())).select("doc", "fp", "component")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
@@ -432,14 +434,18 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without those that are not their component's least doc_id. Rows that repeat an id are decided
     by their own texts; of those that would stay one does, as they are one document: the least text,
-    one with words if any has some. Rows without an id all stay."""
+    one with words if any has some. Rows without an id all stay. Other columns pass through whatever their names."""
+    inner, give_back = set_aside(docs, "doc_id", "text")
+    inner = inner.withColumn("_text_hash", F.xxhash64("text"))
     named = _components(docs, width, similarity, "doc_id", "text")
     kept = named.where("doc = component").groupBy("doc", "row").agg(F.count(F.lit(1)).alias("_n"))
     times = kept.groupBy("doc").agg(F.sum("_n").alias("_times")).withColumnRenamed("doc", "_id")
     reps = kept.join(times, F.col("doc") == F.col("_id")).select(F.col("doc").alias("_rep"), F.col("row").alias("_row"), "_times")
-    met = docs.join(reps, (F.col("doc_id") == F.col("_rep")) & (F.xxhash64("text") == F.col("_row")))
-    single = met.where("_times = 1").select(*docs.columns)
+    met = inner.join(reps, (F.col("doc_id") == F.col("_rep")) & (F.col("_text_hash") == F.col("_row")))
+    single = met.where("_times = 1").select(*inner.columns)
     no_words = ~F.coalesce(F.col("text").rlike(NOT_SPACE), F.lit(False))
-    repeated = met.where("_times > 1").groupBy("doc_id").agg(F.min(F.struct(no_words.alias("_none"), *[c for c in docs.columns if c != "doc_id"])).alias("_row"))
-    again = repeated.select(*[F.col(c) if c == "doc_id" else F.col(f"_row.{c}") for c in docs.columns])
-    return single.unionByName(again).unionByName(docs.where("doc_id is null"))
+    rest = [c for c in inner.columns if c != "doc_id"]
+    order = F.struct(no_words.alias("none"), "text", F.to_json(F.struct(*rest)))
+    repeated = met.where("_times > 1").groupBy("doc_id").agg(F.min_by(F.struct(*rest), order).alias("_least"))
+    again = repeated.select(*[F.col(c) if c == "doc_id" else F.col(f"_least.{c}") for c in inner.columns])
+    return give_back(single.unionByName(again).unionByName(inner.where("doc_id is null")))
