@@ -1,14 +1,17 @@
 """Mixing sources to target weights by systematic sampling, with DataFrame functions only.
 
 A source's documents all expect target / source_size copies. Documents of a source stand in a fixed
-order (size class, then md5 of the id); with one offset per source, a document is emitted
-once for each integer that the running sum of expected copies crosses at it. Sizes are alike along
-the order, so the words taken come near the target. The running sum is a rank times the rate, and
-ranks are counted within small cells (source, size class, leading md5 digits) plus the cells'
-prefix sums: a source with a third of all rows is dealt over as many tasks as any rows.
+order (size class, then md5 of the id); with one random offset per source, seeded by its name, a document is
+emitted once for each integer that the running sum of expected copies crosses at it. Sizes rise along the order, so
+the words taken miss the target by about one of the largest documents at most. The running sum is a rank times the
+rate, and ranks are counted within small cells (source, size class, leading md5 bits) plus the cells'
+prefix sums: a source, or a size, with a third of all rows is dealt over as many tasks as any rows.
 
 Null texts have size 0; documents of size 0 are taken as copies of no words; a null source is a
-source of its own, last in order; rows that repeat an id are separate documents of the mix.
+source of its own, last in order; rows that repeat an id are separate documents of the mix, and so are rows without
+one. Long texts are counted inside their rows. Other columns pass through whatever their names; an added column
+whose name the input has gets underscores in front. Jobs run when the functions are called. The windows that order
+sources, and cells of a source, are over one row for each of these, not over documents.
 """
 
 from __future__ import annotations
@@ -18,14 +21,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import NOT_SPACE, staged
+from factloom.llm.common import NOT_SPACE, set_aside, staged
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2.0
 #: Expected rows of a cell, of which one task ranks several.
 CELL_ROWS = 20_000
-OFFSETS = 16
+#: Size classes to a doubling of the size.
+CLASSES = 16
 
 
 def word_count(text: Column) -> Column:
@@ -52,25 +56,25 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, budget: float = B
     return top.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, size: Column | None = None) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies; docs has doc_id, source and, without
-    `size`, text. Reruns give the same copies."""
-    size = word_count(F.col("text")) if size is None else size
-    narrow = staged(docs.select("doc_id", "source", size.alias("_size")))
-    # as many leading digits as keep the largest cell near CELL_ROWS: the order does not depend on them
-    digits = max(0, math.ceil(math.log(max(1, narrow.count() / CELL_ROWS), 16)))
-    starts = _cell_starts(_marked(narrow, digits), source_targets(narrow.select("source", F.col("_size").alias("size")), weights, budget, most))
-    first = _ranked(_marked(narrow, digits), starts)
-    offsets = _offsets(first, most).select(F.col("source").alias("_os"), "_offset")
-    final = starts.join(offsets, F.col("_src").eqNullSafe(F.col("_os"))).drop("_os")
-    out = _ranked(_marked(docs.withColumn("_size", size), digits), final)
-    return out.withColumn("_copies", copies(F.col("_place"), F.col("_rate"), F.col("_offset"), most)).drop("_place", "_rate", "_offset")
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, size: str | None = None) -> DataFrame:
+    """docs with _size, _source_size, _target and _copies; docs has doc_id, source and text or, where `size` names
+    it, a column of sizes. Reruns give the same copies."""
+    inner, give_back = set_aside(docs, "doc_id", "source", size or "text")
+    inner = inner.withColumn("_size", F.col(size) if size else word_count(F.col("text")))
+    narrow = staged(inner.select("doc_id", "source", "_size"))
+    # as many leading bits as keep the largest cell near CELL_ROWS: the order does not depend on them
+    bits = max(0, math.ceil(math.log2(max(1, narrow.count() / CELL_ROWS))))
+    starts = _cell_starts(_marked(narrow, bits), source_targets(narrow.select("source", F.col("_size").alias("size")), weights, budget, most))
+    out = _ranked(_marked(inner, bits), starts)
+    out = out.withColumn("_copies", copies(F.col("_place"), F.col("_rate"), offset(F.col("source")), most))
+    return give_back(out, ("_size", "_source_size", "_target", "_copies"))
 
 
-def _marked(sized: DataFrame, digits: int) -> DataFrame:
+def _marked(sized: DataFrame, bits: int) -> DataFrame:
     digest = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
-    marked = sized.withColumn("_class", F.floor(F.log2(F.col("_size") + 1) * 4).cast("int")).withColumn("_md5", digest)
-    return marked.withColumn("_cell", F.substring("_md5", 1, digits) if digits else F.lit(""))
+    marked = sized.withColumn("_class", F.floor(F.log2(F.col("_size") + 1) * CLASSES).cast("int")).withColumn("_md5", digest)
+    lead = F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long")
+    return marked.withColumn("_cell", F.coalesce(F.shiftright(lead, 32 - bits), F.lit(-1)) if bits else F.lit(0))
 
 
 def _cell_starts(marked: DataFrame, sources: DataFrame) -> DataFrame:
@@ -95,15 +99,10 @@ def _ranked(marked: DataFrame, starts: DataFrame) -> DataFrame:
     return met.withColumn("_place", F.col("_before") + F.col("_rank")).drop("_class", "_md5", "_cell", "_rank", "_src", "_cls", "_cel", "_before")
 
 
-def _offsets(placed: DataFrame, most: float) -> DataFrame:
-    """(source, _offset): of OFFSETS offsets, a random one and its shifts, that with which the words
-    taken come nearest to the target."""
-    digits = F.conv(F.substring(F.md5(F.coalesce(F.col("source"), F.lit("")).cast("binary")), 1, 5), 16, 10).cast("double")
-    offset = lambda k: (digits / float(16**5) + k) / OFFSETS
-    words = [F.sum(F.col("_size") * copies(F.col("_place"), F.col("_rate"), offset(k), most)) for k in range(OFFSETS)]
-    sums = placed.groupBy("source").agg(F.array(*words).alias("words"), F.first("_target").alias("_target"))
-    near = F.array_min(F.transform("words", lambda w, k: F.struct(F.abs(w - F.col("_target")).alias("far"), k.alias("k"))))
-    return sums.select("source", offset(near["k"]).alias("_offset"))
+def offset(source: Column) -> Column:
+    """The one random offset of a source, from 0 to 1, by a hash of its name."""
+    digits = F.conv(F.substring(F.md5(F.coalesce(source, F.lit("")).cast("binary")), 1, 5), 16, 10).cast("double")
+    return digits / float(16**5)
 
 
 def copies(place: Column, rate: Column, offset: Column, most: float) -> Column:
@@ -114,12 +113,12 @@ def copies(place: Column, rate: Column, offset: Column, most: float) -> Column:
 
 def mix_report(docs: DataFrame) -> DataFrame:
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))
-    out = mix(sized, size=F.col("words"))
+    out = mix(sized, size="words")
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
-    """Each document as often as the mix takes it, with its number among its copies."""
-    plain = docs.columns
-    out = mix(docs, **how).where("_copies > 0")
-    return out.select(*plain, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
+    """Each document as often as the mix takes it, with its number among its copies in `copy`."""
+    inner, give_back = set_aside(docs, "doc_id", "source", how.get("size") or "text")
+    out = mix(inner, **how).where("_copies > 0")
+    return give_back(out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))), ("copy",))

@@ -20,16 +20,17 @@ MIXING = f"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(c
   WINDOW prior AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  targets AS (SELECT source, source_size, CASE WHEN lvl * w >= cap THEN cap ELSE max(CASE WHEN lvl * w < cap THEN lvl END) OVER () * w END AS target FROM levels),
  placed AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1) * 4), md5(CAST(doc_id AS VARCHAR)), doc_id, size) AS place FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
- tried AS (SELECT p.*, k, least(2, floor(({_HEX} / 1048576.0::DOUBLE + k) / 16 + rate * place) - floor(({_HEX} / 1048576.0::DOUBLE + k) / 16 + rate * (place - 1)))::BIGINT AS copies FROM placed p, range(16) r(k)),
- best AS (SELECT source, k FROM (SELECT source, k, abs(sum(size * copies) - any_value(target)) AS far FROM tried GROUP BY source, k) QUALIFY row_number() OVER (PARTITION BY source ORDER BY far, k) = 1)
- SELECT doc_id, size, source_size, target, copies * size AS taken FROM tried t JOIN best b ON t.k = b.k AND t.source IS NOT DISTINCT FROM b.source"""
-
-CHAT = """WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations WHERE conv_id IS NOT NULL),
- people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said),
- met AS (SELECT *, CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head FROM said JOIN people USING (conv_id))
- SELECT conv_id, perspective, turn, speaker, CASE WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role, head || body || '<|im_end|>' || chr(10) AS segment, CAST(length(head) AS INTEGER) AS mask_start,
- CAST(length(head) + CASE WHEN speaker = perspective THEN length(body) + 10 ELSE 0 END AS INTEGER) AS mask_end FROM met"""
+  row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1) * 16), md5(CAST(doc_id AS VARCHAR)), doc_id, size) AS place FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+ SELECT doc_id, size, source_size, target, least(2, floor({_HEX} / 1048576.0::DOUBLE + rate * place) - floor({_HEX} / 1048576.0::DOUBLE + rate * (place - 1)))::BIGINT * size AS taken FROM placed"""
+
+_ESCAPED = "regexp_replace({0}, '<(\\\\*)\\|', '<\\1\\\\|', 'g')"
+
+CHAT = f"""WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, {_ESCAPED.format("coalesce(text, '')")} AS body FROM conversations WHERE conv_id IS NOT NULL),
+ people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+ met AS (SELECT *, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role FROM said JOIN people USING (conv_id)),
+ headed AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || translate({_ESCAPED.format("speaker")}, chr(10) || chr(13), '  ') ELSE '' END || chr(10) AS head FROM met)
+ SELECT conv_id, perspective, turn, speaker, role, head || body || '<|im_end|>' || chr(10) AS segment, CAST(length(head) AS INTEGER) AS mask_start,
+ CAST(length(head) + CASE WHEN role = 'assistant' THEN length(body) + 10 ELSE 0 END AS INTEGER) AS mask_end FROM headed"""
 
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
