@@ -535,3 +535,17 @@ def test_mix_is_near_its_targets(spark):
         aim[r["source"]] = r["target"]
         largest[r["source"]] = max(largest[r["source"]], r["size"])
     assert all(abs(taken[s] - aim[s]) <= 2 * largest[s] for s in aim) and abs(sum(taken.values()) / sum(aim.values()) - 1) < 0.02
+
+
+def test_windows_that_many_items_share(spark):
+    """Boilerplate in all items, items over several blocks, and a document with two items: op8's true side."""
+    same = "choose the best answer to the following question now "
+    items = [(i, f"{same} what is the {i} th thing of its kind here") for i in range(30)]
+    data = [(1, f"x {items[3][1]} y"), (2, f"{items[4][1].upper()} -- {items[5][1]}"), (3, same), (4, same[:30]), (5, None)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(data, "doc_id long, text string")
+    for limit in (200, 1 << 20):
+        for r in decontaminate.mark_contaminated(df, bench, block_bytes=limit).collect():
+            n, hit, found, sha, bad = brute_hits(r["text"], items)
+            assert (r["_n_words"], r["_n_hit"], len(r["_items"]), r["_contaminated"]) == (n, hit, found, bad)
+            assert hashlib.sha256(",".join(r["_items"]).encode()).hexdigest() == sha
+            assert r["_contaminated"] == (r["doc_id"] <= 3)
