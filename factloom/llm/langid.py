@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import adam, bounded, crc_mod, groups, joined, small_batches, with_fields, word_hashes, words
+from factloom.llm.common import adam, bounded, crc_mod, groups, joined, set_aside, small_batches, with_fields, word_hashes, words
 
 SAMPLE = 600
 SEQUENCES = 1500
@@ -248,6 +248,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, st
 def identify(docs: DataFrame, m: Model | None, text: str = "text") -> DataFrame:
     """docs with _lang and _score in place of the text."""
     small_batches(docs.sparkSession)
+    docs, give_back = set_aside(docs, text)
     sent = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +258,7 @@ def identify(docs: DataFrame, m: Model | None, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c for _, c in keep), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*(n for n, _ in keep), "_lang", "_score"])
 
     schema = with_fields(docs, "_lang string, _score double", (text,))
-    return docs.mapInArrow(run, schema)
+    return give_back(docs.mapInArrow(run, schema), ("_lang", "_score"), (text,))
 
 
 def language_report(docs: DataFrame) -> DataFrame:

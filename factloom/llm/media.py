@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import small_batches, texts, with_fields
+from factloom.llm.common import set_aside, small_batches, texts, with_fields
 
 WIDTH = 64
 TILE = 32
@@ -138,6 +138,7 @@ def media_features(df: DataFrame, media: str, tile: int = TILE) -> DataFrame:
     """df with _height, _width, _tile (NPY bytes of a tile x tile grey image of bytes) and _dhash,
     null where the media can't be decoded."""
     small_batches(df.sparkSession, 256)
+    df, give_back = set_aside(df, media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,13 +155,14 @@ def media_features(df: DataFrame, media: str, tile: int = TILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "_height", "_width", "_tile", "_dhash"])
 
     schema = with_fields(df, "_height int, _width int, _tile binary, _dhash string")
-    return df.mapInArrow(run, schema)
+    return give_back(df.mapInArrow(run, schema), ("_height", "_width", "_tile", "_dhash"))
 
 
 def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _n_bytes and _media: a PGM of the text's UTF-8 bytes in rows of WIDTH samples,
     zeros appended to whole rows, one at least. The text column goes."""
     small_batches(docs.sparkSession, 256)
+    docs, give_back = set_aside(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +172,7 @@ def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c for _, c in keep), pa.array(map(len, body), pa.int64()), pa.array(media, pa.binary())], names=[*(n for n, _ in keep), "_n_bytes", "_media"])
 
     schema = with_fields(docs, "_n_bytes long, _media binary", (text,))
-    return docs.mapInArrow(run, schema)
+    return give_back(docs.mapInArrow(run, schema), ("_n_bytes", "_media"), (text,))
 
 
 def media_report(docs: DataFrame) -> DataFrame:

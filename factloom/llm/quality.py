@@ -2,12 +2,16 @@
 
 View one is the text's content: shares of its bytes and of hashed pairs of neighbouring bytes. View two is
 the metadata that comes with it: language, source, size. A classifier for each view is fitted on labelled
-documents; in each round both label a pool of unlabelled ones and hand the documents they are surest of to
-the other. Calibrated on labelled documents that neither learned from, the views' log odds add up, less
-the prior that both contain; every document gets the combined score.
-
-Labelled sample and pool are bounded (LABELLED, POOL). Null texts count as empty, null metadata as a value of
-its own. Without labels of both kinds every document gets the score 1 if the labels say so, or if there are none.
+documents; in each round both score every unlabelled document of the corpus, and of all that a view is sure of it
+hands the other a sample to learn from. Calibrated on labelled documents that neither learned from, the views' log
+odds add up, less the prior that both contain; every document gets the combined score.
+
+What is fitted is bounded: LABELLED documents with labels and, a round and view, TAKEN of those it is sure of. Null
+texts count as empty, null metadata as a value of its own. Without labels of both kinds every document gets the score
+1 if the labels say so, or if there are none. Rows that repeat an id are one document in the samples (the least text)
+and each scored by itself; samples are those with the smallest hashes of the id, so ties can't change them. A score of
+exactly 0.5 counts as good. Texts of any length are read a part at a time. Other columns pass through whatever
+their names; an added column whose name the input has gets underscores in front. train() runs jobs.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import adam, bounded, crc_mod, sigmoid, small_batches, texts, with_fields
+from factloom.llm.common import adam, bounded, crc_mod, set_aside, sigmoid, small_batches, staged, texts, with_fields
 
 LABELLED = 4000
-POOL = 4000
 ROUNDS = 3
-SURE = 0.05
+#: Documents that a view hands the other in a round, of both labels together, and the log odds from which it is sure.
+TAKEN = 400
+SURE = 2.0
 PAIRS = 512
 META = 64
 _CHUNK = 1 << 20
@@ -104,74 +109,111 @@ def calibrated(v: View, x: np.ndarray, y: np.ndarray) -> View:
     return View(v.weight, v.bias, max(0.0, float(a)), float(b))
 
 
-def cotrain(content: np.ndarray, meta: np.ndarray, y: np.ndarray, calibrate: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y is 1, 0 or -1 (unlabelled); `calibrate` marks labelled rows kept from fitting."""
-    known, prior = y >= 0, (y[y >= 0].sum() + 0.5) / ((y >= 0).sum() + 1)
+def cotrain(content: np.ndarray, meta: np.ndarray, y: np.ndarray, calibrate: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
+    """Fits on rows labelled 1 or 0, `calibrate` marks those kept from fitting. pool(views, shares) gives (view, label,
+    content, meta) for new documents that `view` is sure of, at most shares[label] for each label."""
+    prior = (y.sum() + 0.5) / (len(y) + 1)
     views = {"content": content, "meta": meta}
-    learn = {k: np.where(known & ~calibrate, y, -1) for k in views}
-    fitted: dict[str, View] = {}
+    learn = {k: ([x[~calibrate]], [y[~calibrate]], [np.ones((~calibrate).sum())]) for k, x in views.items()}
+    both = calibrate.any() and 0 < y[calibrate].sum() < calibrate.sum()
+    set_right = lambda f: {k: calibrated(v, views[k][calibrate], y[calibrate]) for k, v in f.items()} if both else f
+    shares = {1: max(1, round(TAKEN * prior)), 0: max(1, round(TAKEN * (1 - prior)))}
     for r in range(rounds + 1):
-        for k, x in views.items():
-            rows = learn[k] >= 0
-            fitted[k] = fit_view(x[rows], learn[k][rows], np.where(known[rows], 1.0, 0.5))
-        if r == rounds:
-            break
-        for k, other in (("content", "meta"), ("meta", "content")):
-            free = np.flatnonzero(~known & (learn[other] < 0))
-            p = calibrated(fitted[k], views[k][calibrate], y[calibrate]).logit(views[k][free]) if calibrate.any() else fitted[k].raw(views[k][free])
-            take = max(1, int(SURE * len(free))) if len(free) else 0
-            for label, order, sure in ((1, np.argsort(-p, kind="stable"), p > 2), (0, np.argsort(p, kind="stable"), p < -2)):
-                # as many of each label as its share, and only where the odds are 7 to 1 or better
-                chosen = order[: max(1, round(take * (prior if label else 1 - prior)))] if take else order[:0]
-                learn[other][free[chosen[sure[chosen]]]] = label
-    if calibrate.any() and 0 < y[calibrate].sum() < calibrate.sum():
-        fitted = {k: calibrated(v, views[k][calibrate], y[calibrate]) for k, v in fitted.items()}
+        fitted = set_right({k: fit_view(*map(np.concatenate, rows)) for k, rows in learn.items()})
+        if r < rounds:
+            for k, label, *new in pool(fitted, shares):
+                other = "meta" if k == "content" else "content"
+                x = new[0] if other == "content" else new[1]
+                for part, add in zip(learn[other], (x, np.full(len(x), label), np.full(len(x), 0.5)), strict=True):
+                    part.append(add)
     return Model(fitted["content"], fitted["meta"], float(np.log(prior / (1 - prior))))
 
 
 def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    body = texts(b, "_text")
+    body = texts(b, "text")
     content = np.stack([content_features(t) for t in body]) if body else np.zeros((0, 256 + PAIRS), np.float32)
     meta = [meta_features(*x) for x in zip(*(b.column(c).to_pylist() for c in ("_lang", "_source", "_size")), strict=True)]
     return content, np.stack(meta) if meta else np.zeros((0, 2 * META + 2), np.float32)
 
 
 def _views(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_text": F.col("text"), "_lang": F.col("lang").cast("string"), "_source": F.col("source").cast("string"), "_size": F.col("n_chars").cast("long")})
+    return docs.withColumns({"_lang": F.col("lang").cast("string"), "_source": F.col("source").cast("string"), "_size": F.col("n_chars").cast("long")})
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Learns from all labelled documents whose crc32 modulo 4 is not 3 and calibrates on the others, within
-    the bounds; features are computed on the executors."""
-    small_batches(docs.sparkSession)
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
-    sample = bounded(known, "doc_id", labelled)
-    some = bounded(docs.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left_anti"), "doc_id", pool)
-    chosen = sample.select("doc_id", F.col("_y").cast("int")).union(some.select("doc_id", F.lit(-1)))
-    rows = _views(docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id")).withColumn("_cal", crc_mod(F.col("doc_id"), 4) == 3).drop("text", "lang", "source", "n_chars")
+def _gathered(docs: DataFrame, chosen: DataFrame) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(doc and the columns of `chosen`, content, meta) of the documents whose id is in the bounded frame `chosen`;
+    features are computed on the executors. An id that repeats gives one row, that of the least text."""
+    more = [f for f in chosen.schema if f.name != "doc_id"]
+    least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("least")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *(f.name for f in more)).agg(least)
+    rows = _views(rows.select("doc_id", *(f.name for f in more), "least.*")).drop("lang", "source", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, meta = _features(b)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("_y"), b.column("_cal"), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["doc", "y", "cal", "content", "meta"])
+            x = [pa.array([row.tobytes() for row in part], pa.binary()) for part in _features(b)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), *(b.column(f.name) for f in more), *x], names=["doc", *(f.name for f in more), "content", "meta"])
 
-    got = rows.mapInArrow(run, "doc string, y int, cal boolean, content binary, meta binary").toArrow().sort_by("doc")
-    y = np.array(got.column("y"), np.int64)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in more)
+    got = rows.mapInArrow(run, f"doc string, {kinds}content binary, meta binary").toArrow()
+    got = got.sort_by([(n, "ascending") for n in ["doc", *(f.name for f in more)]])
+    back = lambda c, n: np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(-1, n)
+    return got, back("content", 256 + PAIRS), back("meta", 2 * META + 2)
+
+
+def corpus_pool(docs: DataFrame, known: DataFrame):
+    """A pool for cotrain: all documents without a label. Each call scores them all; of those a view is sure of the
+    ones with the smallest hashes are handed over, each once."""
+    spent = [docs.select("doc_id").limit(0)]
+
+    def pool(views: dict[str, View], shares: dict[int, int]):
+        sent = docs.sparkSession.sparkContext.broadcast(views)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                logits = [sent.value[k].logit(x) for k, x in zip(("content", "meta"), _features(b), strict=True)]
+                cols = [pa.array(np.where(p > SURE, 1, np.where(p < -SURE, 0, -1)), pa.int32()) for p in logits]
+                out = pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "content", "meta"])
+                yield out.filter(pa.array((np.abs(logits[0]) > SURE) | (np.abs(logits[1]) > SURE), pa.bool_()))
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        narrow = _views(docs.where("doc_id is not null")).drop("lang", "source", "n_chars")
+        sure = narrow.mapInArrow(run, f"doc_id {kind}, content int, meta int").join(known, "doc_id", "left_anti").join(F.broadcast(spent[0]), "doc_id", "left_anti")
+        sure = staged(sure.groupBy("doc_id").agg(F.max("content").alias("content"), F.max("meta").alias("meta")))
+        picks = [bounded(sure.where(F.col(k) == label), "doc_id", n).select("doc_id", F.lit(k).alias("view"), F.lit(label).alias("label")) for k in ("content", "meta") for label, n in shares.items()]
+        chosen = staged(picks[0].union(picks[1]).union(picks[2]).union(picks[3]))
+        spent[0] = spent[0].union(chosen.select("doc_id"))
+        got, content, meta = _gathered(docs, chosen)
+        for k in ("content", "meta"):
+            for label in shares:
+                at = np.array([v == k and y == label for v, y in zip(got.column("view").to_pylist(), got.column("label").to_pylist(), strict=True)], bool)
+                if at.any():
+                    yield k, label, content[at], meta[at]
+
+    return pool
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
+    """Learns from labelled documents whose crc32 modulo 4 is not 3 and calibrates on the others, within the bound."""
+    small_batches(docs.sparkSession)
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("_y"))
+    got, content, meta = _gathered(plain, bounded(known, "doc_id", labelled).withColumn("_cal", crc_mod(F.col("doc_id"), 4) == 3))
+    y = np.array(got.column("_y"), np.int64)
     if not (y == 1).any() or not (y == 0).any():
         return None if not (y == 0).any() else Model(View(np.zeros(256 + PAIRS), -10.0), View(np.zeros(2 * META + 2), 0.0), 0.0)
-    back = lambda c, n: np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(-1, n)
-    cal = np.array(got.column("cal").to_pylist(), bool) & (y >= 0)
+    cal = np.array(got.column("_cal").to_pylist(), bool)
     for label in (0, 1):  # too few to set some apart
         if not ((y == label) & ~cal).any() or not ((y == label) & cal).any():
             cal[:] = False
-    return cotrain(back("content", 256 + PAIRS), back("meta", 2 * META + 2), y, cal)
+    return cotrain(content, meta, y, cal, corpus_pool(plain, known.select("doc_id")))
 
 
 def score_quality(docs: DataFrame, m: Model | None) -> DataFrame:
     """docs with _quality, _content and _meta: the combined score and those of the views."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(m)
-    inner = ("_text", "_lang", "_source", "_size")
+    docs, give_back = set_aside(docs, "text", "lang", "source", "n_chars")
+    inner = ("_lang", "_source", "_size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,12 +222,12 @@ def score_quality(docs: DataFrame, m: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c for _, c in keep), *(pa.array(np.asarray(x, float), pa.float64()) for x in out)], names=[*(n for n, _ in keep), "_quality", "_content", "_meta"])
 
     views = _views(docs)
-    return views.mapInArrow(run, with_fields(views, "_quality double, _content double, _meta double", inner))
+    out = views.mapInArrow(run, with_fields(views, "_quality double, _content double, _meta double", inner))
+    return give_back(out, ("_quality", "_content", "_meta"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    # the text itself is not carried through the scoring twice
-    out = score_quality(plain, train(plain, labels))
+    out = score_quality(plain, train(plain, labels)).drop("text")
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 3, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), F.col("_quality").alias("score"), F.col("_content").alias("content_score"), F.col("_meta").alias("meta_score"), (F.col("_quality") >= 0.5).cast("int").alias("predicted"))

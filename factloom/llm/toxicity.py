@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import adam, bounded, crc_mod, groups, joined, prefix_hashes, sigmoid, small_batches, texts, with_fields, word_hashes, words
+from factloom.llm.common import adam, bounded, crc_mod, groups, joined, prefix_hashes, set_aside, sigmoid, small_batches, texts, with_fields, word_hashes, words
 
 SAMPLE = 6000
 #: Bytes of the beginnings of words that are terms too.
@@ -134,6 +134,7 @@ def training_set(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tu
 def score_toxicity(docs: DataFrame, m: Machine, text: str = "text") -> DataFrame:
     """docs with _toxic, a score from 0 to 1, in place of the text."""
     small_batches(docs.sparkSession)
+    docs, give_back = set_aside(docs, text)
     sent = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def score_toxicity(docs: DataFrame, m: Machine, text: str = "text") -> DataFrame
             keep = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != text]
             yield pa.RecordBatch.from_arrays([*(c for _, c in keep), pa.array(scores(sent.value, texts(b, text)), pa.float64())], names=[*(n for n, _ in keep), "_toxic"])
 
-    return docs.mapInArrow(run, with_fields(docs, "_toxic double", (text,)))
+    return give_back(docs.mapInArrow(run, with_fields(docs, "_toxic double", (text,))), ("_toxic",), (text,))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

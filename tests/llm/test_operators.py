@@ -403,9 +403,20 @@ def test_each_view_teaches_the_other():
     rng = np.random.default_rng(3)
     truth = rng.integers(0, 2, 600)
     a, b = (np.stack([truth + rng.normal(0, 0.3, 600), rng.normal(size=600)], axis=1).astype(np.float32) for _ in range(2))
-    y, cal = np.full(600, -1), np.zeros(600, bool)
-    y[:40], cal[30:40] = truth[:40], True
-    m = quality.cotrain(a, b, y, cal)
+    y, cal = truth[:40], np.arange(40) >= 30
+    free, asked = list(range(40, 600)), []
+
+    def pool(views, shares):
+        for k, x in (("content", a), ("meta", b)):
+            p = views[k].logit(x)
+            for label, n in shares.items():
+                at = [i for i in free if (p[i] > quality.SURE if label else p[i] < -quality.SURE)][: n // 4]
+                free[:] = [i for i in free if i not in at]
+                asked.append(len(at))
+                yield k, label, a[at], b[at]
+
+    m = quality.cotrain(a[:40], b[:40], y, cal, pool)
+    assert len(asked) == 4 * quality.ROUNDS and sum(asked) > 100
     score, one, two = m.scores(a, b)
     assert ((score >= 0.5) == truth).mean() > 0.95 and ((score >= 0.5) == truth).mean() >= max(((one >= 0.5) == truth).mean(), ((two >= 0.5) == truth).mean()) - 0.01
 
@@ -550,3 +561,15 @@ def test_windows_that_many_items_share(spark):
             assert (r["_n_words"], r["_n_hit"], len(r["_items"]), r["_contaminated"]) == (n, hit, found, bad)
             assert hashlib.sha256(",".join(r["_items"]).encode()).hexdigest() == sha
             assert r["_contaminated"] == (r["doc_id"] <= 3)
+
+
+def test_views_hand_over_from_the_whole_corpus(spark):
+    """Every unlabelled document is scored in a round; only sure ones that were not handed over yet are taken."""
+    d = docs(spark)
+    known = docs(spark, "labels").select("doc_id").distinct()
+    pool = quality.corpus_pool(d, known)
+    yes, no = quality.View(np.zeros(256 + quality.PAIRS), 3.0), quality.View(np.zeros(2 * quality.META + 2), -3.0)
+    rounds = [[(k, y, len(c), len(m)) for k, y, c, m in pool({"content": yes, "meta": no}, {1: 30, 0: 1000})] for _ in range(2)]
+    free = d.join(known, "doc_id", "left_anti").select("doc_id").distinct().count()
+    # all are sure: content says 1 (30 are taken), meta says 0 (all are, as fewer than 1,000 are left)
+    assert rounds[0] == [("content", 1, 30, 30), ("meta", 0, free, free)] and rounds[1] == []
