@@ -5,8 +5,13 @@ a lexicon; transitions between the labels of neighbours are learned on sequences
 spliced from two languages. Forward-backward gives each word's label probabilities; a text's language
 is the one with the largest share over all its words.
 
-Null texts and texts without a letter are `und` with score 0; so are all where no label was learned.
-The model is fitted on a bounded sample (SAMPLE documents, SEQUENCES sequences), everything is scored.
+Null texts and texts without a letter are `und` with score 0; so are all where no label was learned. The model is
+fitted on a bounded sample: SAMPLE documents, dealt evenly over the languages so that one of few documents is
+learned too (over the SAMPLE most frequent ones if there are more), RUNS runs of LENGTH words of each (the last one shorter, so short texts teach), SEQUENCES sequences,
+words of at most 64 bytes. Everything is scored, whole texts and whole words. Ties between languages go to the first by code
+point. Rows that repeat an id are one document in the sample (the least text) and each scored by itself. A text of any
+length is scored a part at a time. Other columns pass through whatever their names; an added column whose name
+the input has gets underscores in front. training_rows() runs jobs.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import adam, bounded, crc_mod, groups, joined, set_aside, small_batches, with_fields, word_hashes, words
@@ -24,6 +29,9 @@ from factloom.llm.common import adam, bounded, crc_mod, groups, joined, set_asid
 SAMPLE = 600
 SEQUENCES = 1500
 LENGTH = 32
+#: Runs of a document that teach, spread evenly over it.
+RUNS = 8
+WORD_BYTES = 64
 LEXICON = 2000
 TABLE_BITS = 15
 _ORDERS = (2, 3, 4)
@@ -126,24 +134,26 @@ def marginals(scores: np.ndarray, first: np.ndarray, step: np.ndarray, block: in
 
 
 def _training_sequences(rows: list[tuple[bytes, int]], rng: np.random.Generator):
-    """Word ranges of the sample cut into runs of LENGTH words; half the sequences join two runs."""
+    """Word ranges of the sample cut into runs of LENGTH words, a last run shorter; labels take turns, and half the
+    sequences join the beginnings of two runs. -1 fills up what is shorter than LENGTH."""
     buf, offsets = joined([t for t, _ in rows], lower=False)
     starts, ends = words(buf, LETTER)
     doc = np.searchsorted(offsets, starts, "right") - 1
     label = np.array([y for _, y in rows])
     cut = np.searchsorted(doc, np.arange(len(rows) + 1))
-    runs = [np.arange(a, a + LENGTH) for i in range(len(rows)) for a in range(cut[i], cut[i + 1] - LENGTH + 1, LENGTH)]
-    if not runs:  # short texts only: one chain over all words
-        runs = [np.arange(a, a + LENGTH) % max(1, len(starts)) for a in range(0, len(starts), LENGTH)]
-    runs = [runs[i] for i in rng.permutation(len(runs))[:SEQUENCES]]
-    mixed = []
+    runs = [np.arange(a, min(a + LENGTH, cut[i + 1])) for i in range(len(rows)) for a in range(cut[i], cut[i + 1], LENGTH)]
+    of_label: dict[int, list] = {}
+    for i in rng.permutation(len(runs)):
+        of_label.setdefault(int(label[doc[runs[i][0]]]), []).append(runs[i])
+    turns = [r[k] for k in range(max(map(len, of_label.values()), default=0)) for _, r in sorted(of_label.items()) if k < len(r)]
+    runs = turns[:SEQUENCES]
+    at = np.full((len(runs), LENGTH), -1)
     for i, r in enumerate(runs):
         if i % 2:
-            at, other = int(rng.integers(4, LENGTH - 4)), runs[int(rng.integers(len(runs)))]
-            r = np.concatenate([r[:at], other[at:]])
-        mixed.append(r)
-    at = np.array(mixed).reshape(-1, LENGTH)
-    return buf, starts, ends, at, label[doc[at]] if len(starts) else at
+            keep, other = int(rng.integers(1, max(2, min(len(r), LENGTH - 4) + 1))), runs[int(rng.integers(len(runs)))]
+            r = np.concatenate([r[:keep], other])[:LENGTH]
+        at[i, : len(r)] = r
+    return buf, starts, ends, at, np.where(at >= 0, label[doc[at]], 0) if len(starts) else at
 
 
 def fit(rows: list[tuple[bytes, str]], steps: int = 60, rate: float = 0.08, decay: float = 1e-4) -> Model | None:
@@ -155,8 +165,10 @@ def fit(rows: list[tuple[bytes, str]], steps: int = 60, rate: float = 0.08, deca
     buf, starts, ends, at, y = _training_sequences([(t, labels.index(l)) for t, l in rows], np.random.default_rng(0))
     if not len(starts):
         return Model(labels, np.zeros((len(_ORDERS) * size, k)), np.zeros(0, np.uint64), np.zeros((1, k)), np.zeros((k, k)))
-    used, where = np.unique(at, return_inverse=True)
+    real = at >= 0
+    used, where = np.unique(np.maximum(at, 0), return_inverse=True)
     where = where.reshape(at.shape)
+    weight = 1 / real.sum()
     s, e = starts[used], ends[used]
     hashes = word_hashes(buf, s, e)
     values, times = np.unique(word_hashes(buf, starts, ends), return_counts=True)
@@ -166,8 +178,9 @@ def fit(rows: list[tuple[bytes, str]], steps: int = 60, rate: float = 0.08, deca
     known = lexicon_ids(lexicon, hashes)
     gold = np.zeros((*at.shape, k))
     np.put_along_axis(gold, y[:, :, None], 1, axis=2)
-    first = np.zeros(at.shape, bool)
-    first[:, 0] = True
+    gold *= real[:, :, None]
+    linked = (real[:, :-1] & real[:, 1:])[:, :, None]
+    seen = np.einsum("ntk,ntl->kl", gold[:, :-1], gold[:, 1:])
 
     def gradient(p: dict[str, np.ndarray], _: int) -> dict[str, np.ndarray]:
         each = p["grams"][ids[:, 0]] + p["grams"][ids[:, 1]] + p["grams"][ids[:, 2]]
@@ -183,18 +196,18 @@ def fit(rows: list[tuple[bytes, str]], steps: int = 60, rate: float = 0.08, deca
         for t in range(LENGTH - 2, -1, -1):
             after = psi[:, t + 1] * beta[:, t + 1]
             joint = alpha[:, t, :, None] * move * after[:, None, :]
-            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True) * linked[:, t, :, None]).sum(axis=0)
             b = after @ move.T
-            beta[:, t] = b / b.sum(axis=1, keepdims=True)
+            # nothing follows the last word of a sequence
+            beta[:, t] = np.where(linked[:, t], b / b.sum(axis=1, keepdims=True), 1)
         prob = alpha * beta
         prob /= prob.sum(axis=2, keepdims=True)
-        over = (prob - gold) / gold[..., 0].size
-        seen = np.einsum("ntk,ntl->kl", gold[:, :-1], gold[:, 1:])
+        over = (prob * real[:, :, None] - gold) * weight
         by_word = np.stack([np.bincount(where.ravel(), over[..., j].ravel(), len(used)) for j in range(k)], axis=1)
         each = by_word[owner]
         grams = sum(np.stack([np.bincount(ids[:, o], each[:, j], len(p["grams"])) for j in range(k)], axis=1) for o in range(len(_ORDERS)))
         lex = np.stack([np.bincount(known, by_word[:, j], len(lexicon) + 1) for j in range(k)], axis=1)
-        return {"grams": grams + decay * p["grams"] / len(_ORDERS), "known": lex + decay * p["known"], "step": (pairs - seen) / gold[..., 0].size + decay * p["step"]}
+        return {"grams": grams + decay * p["grams"] / len(_ORDERS), "known": lex + decay * p["known"], "step": (pairs - seen) * weight + decay * p["step"]}
 
     zero = {"grams": np.zeros((len(_ORDERS) * size, k)), "known": np.zeros((len(lexicon) + 1, k)), "step": np.zeros((k, k))}
     p = adam(gradient, zero, steps, rate)
@@ -237,12 +250,36 @@ def predict(m: Model | None, texts: list[str | None]) -> tuple[list[str], np.nda
     return label, score
 
 
+def _runs(text: bytes) -> bytes:
+    """RUNS runs of LENGTH words of a text, or all its words if it has fewer, a space between words."""
+    buf, _ = joined([text], lower=False)
+    starts, ends = words(buf, LETTER)
+    n = -(-len(starts) // LENGTH)
+    chosen = np.arange(n) if n <= RUNS else np.arange(RUNS) * n // RUNS
+    return b" ".join(bytes(buf[starts[i] : min(ends[i], starts[i] + WORD_BYTES)]) for r in chosen for i in range(r * LENGTH, min(len(starts), (r + 1) * LENGTH)))
+
+
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, str]]:
-    """Text and lang of a bounded sample of the documents that may be learned from."""
+    """Runs of words and lang of a bounded sample of the documents that may be learned from, cut on the executors.
+    Of each language come those with the smallest hashes among a share that leaves some to spare: no task ranks more
+    than a few times the sample, whatever a language's share of the corpus."""
+    small_batches(docs.sparkSession)
     open_ = docs.where("lang is not null and doc_id is not null and text is not null").where(crc_mod(F.col("doc_id"), 4) != 2)
-    ids = bounded(open_.select("doc_id").distinct(), "doc_id", sample)
-    rows = open_.join(F.broadcast(ids), "doc_id").select(F.col("text"), "lang", "doc_id").collect()
-    return [(r["text"].lower().encode(), r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
+    counts = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = max(1, sample // max(1, counts.count()))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    few = open_.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(sample)), "lang").where(F.col("place") * F.col("n") < 4 * each + 40)
+    few = few.groupBy("lang", "doc_id").agg(F.min("place").alias("place"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("rank") <= each)
+    chosen = open_.join(F.broadcast(ranked.select("doc_id", "lang").limit(sample)), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [_runs(t.lower().encode()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("lang"), pa.array(cut, pa.binary())], names=["doc", "lang", "runs"])
+
+    got = chosen.mapInArrow(run, "doc string, lang string, runs binary").toArrow().sort_by([("doc", "ascending"), ("lang", "ascending")])
+    return list(zip(got.column("runs").to_pylist(), got.column("lang").to_pylist(), strict=True))
 
 
 def identify(docs: DataFrame, m: Model | None, text: str = "text") -> DataFrame:

@@ -573,3 +573,67 @@ def test_views_hand_over_from_the_whole_corpus(spark):
     free = d.join(known, "doc_id", "left_anti").select("doc_id").distinct().count()
     # all are sure: content says 1 (30 are taken), meta says 0 (all are, as fewer than 1,000 are left)
     assert rounds[0] == [("content", 1, 30, 30), ("meta", 0, free, free)] and rounds[1] == []
+
+
+def test_a_pair_that_says_nothing_apart():
+    """Toxic is the exclusive-or of two terms: no additive weights can tell it, the pair's weight does."""
+    rng = np.random.default_rng(1)
+    names = np.arange(60, dtype=np.uint64)
+    docs_, y = [], []
+    for _ in range(4000):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        docs_.append(np.unique(np.concatenate([names[:2][[one, two]], names[rng.integers(2, 60, 8)]])))
+        y.append(one != two)
+    m = toxicity.fit(docs_, np.array(y))
+    has = lambda *t: toxicity.sigmoid(toxicity.raw_scores(m, np.isin(m.terms, np.array(t, np.uint64)).astype(float)[None]))[0]
+    assert {0, 1} <= set(m.terms.tolist()) and has(0) > 0.8 and has(1) > 0.8 and has(0, 1) < 0.2 and has() < 0.2
+    x = np.array([[float(0 in d), float(1 in d), 1.0] for d in docs_])
+    linear = np.linalg.lstsq(x, np.array(y, float), rcond=None)[0]
+    assert ((x @ linear > 0.5) == np.array(y)).mean() < 0.8
+    # noise alone gives no pairs
+    assert len(toxicity.fit(docs_, rng.random(4000) < 0.3).terms) == 0
+
+
+def test_toxicity_scores_are_the_machine(spark):
+    """scores() over texts against the formula over all pairs of terms."""
+    rng = np.random.default_rng(4)
+    text = ["alpha beta gamma", "beta beta delta", "", "gamma deltas alphabet", "none of these"]
+    terms = np.unique(toxicity.term_sets([t.encode() for t in text[:2]])[1])
+    m = toxicity.Machine(terms, -0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), toxicity.RANK)))
+    for t, got in zip(text, toxicity.scores(m, [t.encode() for t in text])):
+        on = np.flatnonzero(np.isin(terms, toxicity.term_sets([t.encode()])[1])) if t else []
+        want = m.bias + sum(m.weight[i] for i in on) + sum(m.factor[i] @ m.factor[j] for i, j in itertools.combinations(on, 2))
+        assert got == pytest.approx(1 / (1 + math.exp(-want)))
+
+
+def test_languages_of_short_texts_are_learned(spark):
+    de = "der Hund läuft schnell nach|die Katze schläft im Haus|wir gehen heute in die Stadt|das Wetter ist schön und warm|ich trinke gerne einen Kaffee".split("|")
+    en = "the dog runs quickly after it|this cat sleeps in the house|we are going into town today|the weather is nice and warm|she would like to drink coffee".split("|")
+    fr = " ".join("le chien court vite derrière la voiture et nous allons dans la ville avec notre ami".split() * 300)
+    rows_ = [(de[i % 5] + (" " + de[(i * 3 + 1) % 5] if i % 3 else ""), "de") for i in range(20)] + [(en[i % 5] + (" " + en[(i * 3 + 1) % 5] if i % 3 else ""), "en") for i in range(20)] + [(fr, "fr")] * 3
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows_)], "doc_id long, text string, lang string")
+    rows_of = langid.training_rows(df)
+    m = langid.fit(rows_of)
+    got, _ = langid.predict(m, ["der Hund schläft im Haus", "the weather is nice today", "nous allons dans la voiture", "", None])
+    assert got == ["de", "en", "fr", "und", "und"]
+    assert max(len(t) for t, _ in rows_of) < langid.RUNS * langid.LENGTH * (langid.WORD_BYTES + 1)
+    # a language of few documents among many gets its share of the sample
+    many = df.select("doc_id", "text", "lang").union(spark.range(1000, 4000).selectExpr("id", "'mi pensas ke la hundo kuras' as text", "'eo' as lang"))
+    assert {lang for _, lang in langid.training_rows(many)} == {"de", "en", "fr", "eo"}
+
+
+def test_predict_is_the_share_of_marginals(spark):
+    m = langid.fit(langid.training_rows(docs(spark)))
+    for t in ["the quick fox", "Der Hund the cat", "été à la plage with friends", "x"]:
+        low = t.lower().encode()
+        buf, _ = langid.joined([low], lower=False)
+        starts, ends = langid.words(buf, langid.LETTER)
+        scores = langid.emissions(m, buf, starts, ends)
+        want = np.zeros(scores.shape)
+        for path in itertools.product(range(len(m.labels)), repeat=len(scores)):
+            w = math.exp(sum(scores[i, y] - scores[i].max() for i, y in enumerate(path)) + sum(m.step[a, b] for a, b in itertools.pairwise(path)))
+            for i, y in enumerate(path):
+                want[i, y] += w
+        want = (want / want.sum(axis=1, keepdims=True)).mean(axis=0)
+        label, score = langid.predict(m, [t])
+        assert label[0] == m.labels[int(want.argmax())] and score[0] == pytest.approx(want.max())
