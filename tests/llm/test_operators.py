@@ -637,3 +637,67 @@ def test_predict_is_the_share_of_marginals(spark):
         want = (want / want.sum(axis=1, keepdims=True)).mean(axis=0)
         label, score = langid.predict(m, [t])
         assert label[0] == m.labels[int(want.argmax())] and score[0] == pytest.approx(want.max())
+
+
+INNER = "h fp pos row doc body key n at copy words _row _body _drops _drop_doc _n_lines _n_dropped _rep _times _id _n _text_hash _least _found _n_words _n_hit _items _hit_spans _contaminated _size _source_size _target _copies _class _md5 _cell _rank _place _src _before _rate _toxic _lang _score _source _quality _content _meta _n_bytes _media _height _width _tile _dhash secret_spans perspective speaker".split()
+
+
+def clashing(df):
+    """df with further columns of all names that operators use inside, each holding its own name and the row's id."""
+    mark = lambda c: langid.F.concat_ws(":", langid.F.lit(c), langid.F.col("doc_id").cast("string"))
+    return df.select("doc_id", "text", "lang", "source", "n_chars", *[mark(c).alias(c) for c in INNER], langid.F.create_map(langid.F.lit("k"), "doc_id").alias("a map"))
+
+
+def intact(out, without=()):
+    """The caller's columns come first, in their order, with the values that they had."""
+    names = [c for c in ["doc_id", "text", "lang", "source", "n_chars", *INNER, "a map"] if c not in without]
+    assert out.columns[: len(names)] == names
+    rows_ = out.collect()
+    assert all(r[c] == (f"{c}:{r['doc_id']}" if r["doc_id"] is not None else c) for r in rows_ for c in INNER)
+    return rows_
+
+
+def test_extra_columns_of_any_name(spark, odd, empty):
+    df = clashing(odd)
+    n = df.count()
+    quiet = quality.Model(quality.View(np.zeros(256 + quality.PAIRS), 1.0), quality.View(np.zeros(2 * quality.META + 2), 1.0), 0.0)
+    machine, model = toxicity.fit([], np.zeros(0, bool)), langid.fit([(b"a b c", "en"), (b"d e f", "de")])
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert len(intact(secrets.scan_secrets(df))) == n
+    assert len(intact(langid.identify(df, model), ("text",))) == n
+    assert len(intact(linededup.drop_shared_lines(df))) == n
+    assert len(intact(toxicity.score_toxicity(df, machine), ("text",))) == n
+    assert len(intact(mixing.mix(df))) == n
+    assert len(intact(decontaminate.mark_contaminated(df, bench))) == n
+    assert len(intact(quality.score_quality(df, quiet))) == n
+    assert len(intact(media.media_features(media.text_media(df), "__media"), ("text",))) == n
+    assert len(intact(simhash.one_of_each(df))) < n
+    intact(mixing.emit(df))
+    for bare in (df, clashing(empty)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, bare, SF)
+            assert len(intact(out)) <= 2 * n and len(out.columns) == len(bare.columns) + (name == "mix")
+            assert bare is df or out.count() == 0
+
+
+def test_pixels_of_a_text(spark):
+    """feature and tile of op10 against means over areas taken sample by sample."""
+    text = "".join(chr(33 + i * i % 90) for i in range(64 * 36))
+    (r,) = media.media_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    image = np.frombuffer(text.encode(), np.uint8).reshape(36, 64).astype(float)
+
+    def areas(h, w):
+        out = np.zeros((h, w))
+        for i, j in itertools.product(range(h), range(w)):
+            top, end, left, right = i * 36 / h, (i + 1) * 36 / h, j * 64 / w, (j + 1) * 64 / w
+            wy = [max(0, min(y + 1, end) - max(y, top)) for y in range(36)]
+            wx = [max(0, min(x + 1, right) - max(x, left)) for x in range(64)]
+            out[i, j] = np.array(wy) @ image @ np.array(wx) / (sum(wy) * sum(wx))
+        return out
+
+    small = areas(8, 9)
+    bits = "".join("1" if small[i, j] + 1e-9 < small[i, j + 1] else "0" for i in range(8) for j in range(8))
+    assert r["feature"] == f"{int(bits, 2):016x}"
+    (m,) = media.media_features(media.text_media(spark.createDataFrame([(1, text)], "doc_id long, text string")), "_media").collect()
+    tile = np.load(media.io.BytesIO(m["_tile"]))
+    assert (np.abs(tile - areas(32, 32)) <= 0.5 + 1e-6).all() and hashlib.sha256(m["_tile"]).hexdigest() == r["tile_sha256"]
