@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,8 +14,7 @@ from pyspark.sql import functions as F
 
 # Fixed pattern: marks at a label's end that can only be footnotes.
 FOOTNOTE_TAIL = r"(?:\s*(?:[¹²³⁴⁵⁶⁷⁸⁹⁰]+|[*†‡§]+|\d{1,2}\)))+$"
-# Fixed patterns: labels that name nothing, and statements that only read.
-NUMERIC_LABEL = r"^[\s\d.,()%+\-–−$€£]+$"
+# Fixed pattern: words of statements that do more than read.
 WRITES = r"(?i)\b(insert|update|delete|drop|alter|create|truncate|attach|pragma|replace|grant|vacuum)\b"
 TOKENS = r"[a-z0-9]+(?:-[a-z0-9]+)*"
 
@@ -56,6 +56,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def strip_sql(s: Column) -> Column:
+    """Fixed patterns: comments of both kinds go, then blanks and semicolons at the ends."""
     bare = F.regexp_replace(F.regexp_replace(s, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
     return F.regexp_replace(bare, r"^\s+|[\s;]+$", "")
 
@@ -65,15 +66,31 @@ def is_safe_select(s: Column) -> Column:
     return (bare != "") & ~bare.contains(";") & bare.rlike(r"(?i)^(select|with)\b") & ~bare.rlike(WRITES)
 
 
+def feature_counts(text: str, dims: int = 1024) -> dict[int, float]:
+    """Signed counts of a text's features: its words and the character trigrams of each (a word of less is its own one)."""
+    out: dict[int, float] = {}
+    for word in re.findall(TOKENS, text.lower()):
+        for part in (word, *(word[i : i + 3] for i in range(max(1, len(word) - 2)))):
+            place, sign = _feature(part, dims)
+            out[place] = out.get(place, 0.0) + sign
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def _feature(part: str, dims: int) -> tuple[int, float]:
+    # Fixed format: the first four bytes of BLAKE2b-64 give the place, the fifth one's last bit the sign.
+    digest = hashlib.blake2b(part.encode(), digest_size=8).digest()
+    return int.from_bytes(digest[:4], "big") % dims, 1.0 if digest[4] & 1 else -1.0
+
+
 def unit_vector(text: str, dims: int = 1024) -> list[float]:
-    """Signed feature hashing (BLAKE2b) of words and their character trigrams, at unit length."""
+    """Signed feature hashing of words and their character trigrams, at unit length; zeros for a text without words."""
+    counts = feature_counts(text, dims)
+    size = math.sqrt(sum(x * x for x in counts.values()))
     v = [0.0] * dims
-    for w in re.findall(TOKENS, text.lower()):
-        for part in [w, *(f"#{w}#"[i : i + 3] for i in range(len(w)))]:
-            h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "big")
-            v[h % dims] += 1.0 if h >> 63 else -1.0
-    size = math.sqrt(sum(x * x for x in v))
-    return [x / size for x in v] if size else v
+    for place, x in counts.items():
+        v[place] = x / size if size else 0.0
+    return v
 
 
 def embed(text: Column) -> Column:
@@ -91,6 +108,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def holds_phrase(value: Column, text: Column) -> Column:
+    """Whether a text has a value that is no number, both normalised; an empty value is held by none."""
+    needle = normalize(value)
+    return (needle != "") & normalize(text).contains(needle)
+
+
 def first_json(text: str) -> str | None:
     """The JSON in a fence, the whole text, or its first balanced object, as compact JSON."""
     m = re.search(r"```(?:json)?\s*(.*?)```", text or "", re.S)

@@ -47,6 +47,32 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def keep_more_precise(df: DataFrame, keys: list[str], value: str, decimals: str, order: list[str]) -> DataFrame:
+    """Of each key the first row in `order`, unless a later one has another value and is more precise than the one kept so
+    far. Null decimals are the least precise; exact ones are to be given as a large number. A fold: a later row of equal value
+    never takes over, so the largest precision alone does not decide. A key's rows are few: one document's repeats."""
+    rest = [c for c in df.columns if c not in keys]
+    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in rest if c not in order]))).alias("_l"))
+    at = lambda x: F.coalesce(x[decimals], F.lit(-(1 << 20)))
+    kept = F.aggregate(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.get("_l", F.lit(0)), lambda a, x: F.when((x[value] != a[value]) & (at(x) > at(a)), x).otherwise(a))
+    return lists.select(*keys, kept.alias("_k")).select(*keys, *[F.col(f"_k.{c}").alias(c) for c in rest])
+
+
+def latest(facts: DataFrame, keys: list[str], value: str, filed: str) -> DataFrame:
+    """The value filed last for each key; of several filed together the largest."""
+    return facts.groupBy(*keys).agg(F.max_by(value, F.struct(filed, value)).alias(value), F.max(filed).alias(filed))
+
+
+def ranked_restatements(found: DataFrame) -> DataFrame:
+    """Restatements in the order in which they are read: changes of value before turned signs, the largest first."""
+    return found.orderBy((F.col("kind") != "value_change"), F.col("rel_delta").desc_nulls_last())
+
+
+def duplicates(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """What keep_one leaves out: the list of repeats."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn > 1").drop("_rn")
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
@@ -75,12 +101,14 @@ def infer_precision(df: DataFrame, filing: str, value: str, least: float = 1e6)
 
 def resolve(facts: DataFrame, terms: DataFrame) -> DataFrame:
     """For each rule and period all terms from one filing, the newest that has them all. facts:
-    (concept, period, accn, filed, unit, value, tol); terms: (rule, concept, coef, ord); coef 0 is the right side."""
+    (concept, period, accn, filed, unit, value, tol); terms: (rule, concept, coef, ord), a small table; coef 0 is the right
+    side. Facts move once, by period: both aggregates keep that partitioning. See rules.check_rules for whole rule sets."""
     needed = terms.groupBy("rule").agg(F.count(F.lit(1)).alias("needed"))
-    met = facts.join(F.broadcast(terms), "concept")
-    full = met.groupBy("rule", "period", "accn").agg(F.count_distinct("concept").alias("found"), F.max("filed").alias("newest")).join(F.broadcast(needed), "rule").where("found = needed")
-    chosen = keep_one(full, ["rule", "period"], [F.col("newest").desc(), F.col("accn").desc()])
-    return met.join(chosen.select("rule", "period", "accn"), ["rule", "period", "accn"])
+    met = facts.repartition("period").join(F.broadcast(terms), "concept").join(F.broadcast(needed), "rule")
+    term = F.struct("ord", "concept", "coef", "unit", "value", "tol", "filed")
+    filings = met.groupBy("rule", "period", "accn").agg(F.collect_list(term).alias("ts"), F.count_distinct("concept").alias("found"), F.max("filed").alias("newest"), F.max("needed").alias("needed"))
+    chosen = filings.where("found = needed").groupBy("rule", "period").agg(F.max_by(F.struct("accn", "ts"), F.struct("newest", "accn")).alias("c"))
+    return chosen.select("rule", "period", "c.accn", F.inline("c.ts"))
 
 
 def check(resolved: DataFrame, op: str = "eq") -> DataFrame:
@@ -119,22 +147,6 @@ def continuity(balances: DataFrame) -> DataFrame:
     return met.withColumn("status", F.when(F.col("opening").isNull(), "SKIP").when(off <= 0.5, "PASS").otherwise("WARN"))
 
 
-def gate_flags(raw: Column, multiplier: Column, value: Column, span: Column, page: Column, header: Column, period: Column, scale_source: Column) -> Column:
-    """Names of the row's failed gates, in a fixed order."""
-    expect = raw * multiplier
-    ratio = value / F.nullif(expect, F.lit(0))
-    factor = F.when(F.abs(ratio) == 1000, ":1000x").when(F.abs(ratio) == 1000000, ":1e+06x").when(F.abs(ratio) == 0.001, ":0.001x").otherwise("")
-    year = F.substring(period.cast("string"), 1, 4)
-    return F.array_compact(
-        F.array(
-            F.when(F.coalesce(span, F.lit("")).eqNullSafe("") | F.coalesce(page, F.lit(0)).eqNullSafe(0), "missing_source_ref"),
-            F.when(F.abs(value - expect) > 0.5, F.concat(F.lit("scale_arithmetic_mismatch"), factor)),
-            F.when(header.rlike(r"\b(19|20)\d{2}\b") & ~header.contains(year), "header_period_mismatch"),
-            F.when(scale_source == "inferred", "scale_inferred"),
-        )
-    )
-
-
 def label_map(rows: DataFrame, min_count: int = 1) -> DataFrame:
     """label to concept, only where all rows of the label name one concept; flip only if all agree.
     rows: (label, concept, flip)."""

@@ -10,15 +10,16 @@ YEAR_ANYWHERE = r"(?<!\d)(20\d{2})(?!\d)"
 YEAR_BARE = r"(?<!\d)(20\d{2})(?!\d)\s*([¹²³⁴⁵⁶⁷⁸⁹⁰*†‡§]|\d{1,2})?\s*$"
 
 
-def header_columns(cells: DataFrame, max_rows: int = 4, bare: bool = True) -> DataFrame:
-    """Year columns of each table of cells (doc, ri, ci, text): the row, among the first, with the most
-    year cells right of the label column; the earliest of those with as many."""
+def header_columns(cells: DataFrame, max_rows: int = 4, bare: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """Year columns of each table of cells (keys, ri, ci, text): the row, among the first, with the most
+    year cells right of the label column; the earliest of those with as many. A table's key is `doc` unless told."""
+    keys = keys or ["doc"]
     pattern = YEAR_BARE if bare else YEAR_ANYWHERE
     found = cells.where((F.col("ri") < max_rows) & (F.col("ci") > 0)).withColumn("year", F.regexp_extract("text", pattern, 1)).where("year <> ''")
-    per_row = found.groupBy("doc", "ri").agg(F.count(F.lit(1)).alias("n"))
-    best = per_row.groupBy("doc").agg(F.max_by("ri", F.struct("n", -F.col("ri"))).alias("ri"))
+    per_row = found.groupBy(*keys, "ri").agg(F.count(F.lit(1)).alias("n"))
+    best = per_row.groupBy(*keys).agg(F.max_by("ri", F.struct("n", -F.col("ri"))).alias("ri"))
     marker = F.regexp_extract("text", pattern, 2) if bare else F.lit("")
-    out = found.join(best, ["doc", "ri"]).withColumn("marker", marker)
+    out = found.join(best, [*keys, "ri"]).withColumn("marker", marker)
     return out.withColumn("is_target", F.lower("text").contains("target"))
 
 

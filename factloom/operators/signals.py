@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOMINANT_RATIO = 5.0
@@ -39,3 +39,32 @@ def baseline_mismatch(series: DataFrame, targets: DataFrame, keys: list[str], to
     """Targets (keys, year, base) whose base differs from the series; bases of zero or null are skipped."""
     asked = targets.where("base is not null and base <> 0").select(*keys, "year", "base").distinct()
     return asked.join(series.select(*keys, "year", "value"), [*keys, "year"]).withColumn("matches", F.abs(F.col("base") - F.col("value")) <= tol)
+
+
+def unit_suspects(series: DataFrame, keys: list[str], year: str, value: str, factor: float = 100) -> DataFrame:
+    """Values over `factor` times the median of the key's earlier years; a first year has nothing to be held against."""
+    before = Window.partitionBy(*keys).orderBy(year).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.sort_array(F.collect_list(F.col(value).cast("double")).over(before))
+    n = F.size("_seen")
+    median = (F.get("_seen", F.floor((n - 1) / 2).cast("int")) + F.get("_seen", F.floor(n / 2).cast("int"))) / 2
+    return series.withColumn("_seen", seen).where("size(_seen) > 0").withColumn("suspect", F.abs(value) > factor * F.abs(median)).drop("_seen")
+
+
+def comparatives(current: DataFrame, shown: DataFrame, keys: list[str], year: str) -> DataFrame:
+    """The year before as a report shows it (keys, year, comparative) against what was reported then (keys, year, current)."""
+    then = current.select(*keys, (F.col(year) + 1).alias(year), F.col("current").alias("reported"))
+    met = shown.join(then, [*keys, year])
+    return met.withColumns({"off": F.col("comparative") - F.col("reported"), "continues": F.col("comparative") == F.col("reported")})
+
+
+def changed_since(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Each row with the value before it and whether it changed; first rows have none and are left out."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    met = rows.withColumn("before", F.lag(value).over(w)).where("before is not null")
+    return met.withColumn("changed", F.col(value) != F.col("before"))
+
+
+def composite(gate: Column, *weighted) -> Column:
+    """A score of weighted parts (weight, part), nothing where the gate is shut."""
+    total = sum((part * weight for weight, part in weighted), F.lit(0.0))
+    return gate.cast("int") * total

@@ -42,3 +42,14 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     pa, pb = F.avg(F.col(a).cast("double")), F.avg(F.col(b).cast("double"))
     chance = pa * pb + (1 - pa) * (1 - pb)
     return df.agg(n.alias("n"), same.alias("observed"), chance.alias("expected")).withColumn("kappa", F.round((F.col("observed") - F.col("expected")) / F.nullif(1 - F.col("expected"), F.lit(0.0)), 6))
+
+
+def pass_at(attempts: DataFrame, key: str, order: list[str], ok: Column, k: int) -> DataFrame:
+    """Share of keys that succeed at the first attempt, and within k attempts."""
+    numbered = attempts.withColumns({"_n": F.row_number().over(Window.partitionBy(key).orderBy(*order)), "_ok": ok})
+    each = numbered.where(F.col("_n") <= k).groupBy(key).agg(F.max((F.col("_ok") & (F.col("_n") == 1)).cast("int")).alias("one"), F.max(F.col("_ok").cast("int")).alias("some"))
+    return each.agg(F.avg("one").alias("pass_at_1"), F.avg("some").alias("pass_at_k"))
+
+
+def latency(calls: DataFrame, took: Column) -> DataFrame:
+    return calls.agg(F.percentile(took, F.lit(0.5)).alias("p50"), F.percentile(took, F.lit(0.95)).alias("p95"))

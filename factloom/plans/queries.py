@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers as N
 from factloom.functions import text as X
-from factloom.operators import chunks, facts, grids, retrieval, rowsets, signals, traces
+from factloom.operators import chunks, facts, gates, grids, retrieval, rowsets, signals, traces
+from factloom.plans.registry import ORACLES, QUERIES, query, table
 from factloom.sources import sinks
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 # Facts of the comparison queries: an order's truth is the sum of its lines; what was extracted for it differs
 # from the truth by a defect that the order's priority decides; orders of status P were not extracted.
 TRUTH = "truth AS (SELECT 'line' AS taxonomy, l_orderkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS value FROM lineitem GROUP BY l_orderkey)"
@@ -287,10 +270,13 @@ def contract_errors(spark, sf):
 @query("""SELECT flags, count(*) AS n FROM (SELECT concat_ws(';', CASE WHEN o_orderkey = 0 THEN 'missing_source_ref' END, CASE WHEN o_orderpriority LIKE '3%' THEN 'scale_arithmetic_mismatch:1000x' END,
  CASE WHEN year(o_orderdate) <> 1998 THEN 'header_period_mismatch' END, CASE WHEN o_orderstatus = 'P' THEN 'scale_inferred' END) AS flags FROM orders) GROUP BY ALL""")
 def gate_flags(spark, sf):
-    raw = F.col("o_totalprice").cast("decimal(18,2)")
-    value = F.when(F.col("o_orderpriority").like("3%"), raw * 1000 * 1000).otherwise(raw * 1000)
-    flags = facts.gate_flags(raw, F.lit(1000), value, F.lit("as printed"), F.col("o_orderkey"), F.lit("FY 1998"), F.col("o_orderdate"), F.when(F.col("o_orderstatus") == "P", "inferred").otherwise("table"))
-    return table(spark, sf, "orders").groupBy(F.concat_ws(";", flags).alias("flags")).agg(F.count(F.lit(1)).alias("n"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    row = {
+        "span": F.lit("as printed"), "page_no": F.col("o_orderkey"), "grounded": F.lit(True), "raw": F.format_number(cents, 0), "separator": F.lit("."), "scale": F.lit(1000), "sign_rule": F.lit("as_printed"),
+        "value": F.when(F.col("o_orderpriority").like("3%"), cents * 1000000).otherwise(cents * 1000), "header_path": F.array(F.lit("FY 1998")), "period_end": F.col("o_orderdate"),
+        "scale_source": F.when(F.col("o_orderstatus") == "P", "inferred").otherwise("table"), "period_basis": F.lit("audited"),
+    }
+    return table(spark, sf, "orders").groupBy(F.concat_ws(";", gates.flags(row)).alias("flags")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""SELECT page_id, CAST(length(regexp_extract_all(html, '<a\b[^>]*>')) AS INTEGER) AS n_links, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
@@ -369,9 +355,9 @@ def bm25_topk(spark, sf):
     return _lexical(spark, sf).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
-# Queries of dense_topk and rrf_fuse: the vectors with the ten smallest ids, as their SQL states.
-DENSE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id AS id, e, sqrt(list_dot_product(e, e)) AS size FROM v), q AS (SELECT * FROM u ORDER BY id LIMIT 10),
- den AS (SELECT q.id AS qid, u.id, list_dot_product(q.e, u.e) / (q.size * u.size) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.e, u.e) / (q.size * u.size), 8) DESC, u.id) AS rank FROM q, u WHERE list_dot_product(q.e, u.e) / (q.size * u.size) > 0.2 QUALIFY rank <= 10)"""
+# Queries of the dense searches: every vector whose id is divisible by 50, against all vectors.
+DENSE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id AS id, e, sqrt(list_dot_product(e, e)) AS size FROM v), q AS (SELECT * FROM u WHERE id % 50 = 0),
+ den AS (SELECT q.id AS qid, u.id, list_dot_product(q.e, u.e) / (q.size * u.size) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.e, u.e) / (q.size * u.size), 8) DESC, u.id) AS rank FROM q, u WHERE round(list_dot_product(q.e, u.e) / (q.size * u.size), 8) > 0.2 QUALIFY rank <= 10)"""
 
 
 def _vectors(spark, sf):
@@ -382,8 +368,8 @@ def _vectors(spark, sf):
 
 def _dense(spark, sf):
     v = _vectors(spark, sf)
-    asked = v.orderBy("id").limit(10).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    return retrieval.ranked(retrieval.dense(asked, v).withColumn("score", F.round("score", 8)), 10, 0.2)
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return retrieval.dense_best(asked, v, 10, 0.2)
 
 
 @query(f"WITH {DENSE} SELECT qid, id, round(score, 8) AS score, CAST(rank AS INTEGER) AS rank FROM den")
@@ -396,7 +382,15 @@ def rrf_fuse(spark, sf):
     return retrieval.rrf([_lexical(spark, sf), _dense(spark, sf)]).withColumn("score", F.round("score", 8))
 
 
-@query()
+_PICK = "SELECT qid, id, {n} AS pick FROM (SELECT c.*, row_number() OVER (PARTITION BY c.qid ORDER BY 0.5 * c.rel - 0.5 * coalesce({sim}, 0) DESC, c.rel DESC, c.id) AS r FROM cand c{join}) WHERE r = 1"
+_SIM = "list_dot_product(c.vec, {0}.vec)"
+MMR = f"""{DENSE}, cand AS (SELECT den.qid, den.id, round(den.score, 8) AS rel, list_transform(u.e, lambda x: x / u.size) AS vec FROM den JOIN u USING (id)),
+ p1 AS ({_PICK.format(n=1, sim='0', join='')}), v1 AS (SELECT cand.* FROM cand JOIN p1 USING (qid, id)),
+ p2 AS ({_PICK.format(n=2, sim=_SIM.format('v1'), join=' JOIN v1 ON v1.qid = c.qid AND v1.id <> c.id')}), v2 AS (SELECT cand.* FROM cand JOIN p2 USING (qid, id)),
+ p3 AS ({_PICK.format(n=3, sim=f"greatest({_SIM.format('v1')}, {_SIM.format('v2')})", join=' JOIN v1 ON v1.qid = c.qid AND v1.id <> c.id JOIN v2 ON v2.qid = c.qid AND v2.id <> c.id')})"""
+
+
+@query(f"WITH {MMR} SELECT qid, id, CAST(pick AS INTEGER) AS pick FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)")
 def mmr_select(spark, sf):
     """Over every vector whose id is divisible by 50."""
     v = _vectors(spark, sf)
@@ -405,18 +399,28 @@ def mmr_select(spark, sf):
     return retrieval.mmr(near, 3, 0.5)
 
 
+@query()
+def dense_index(spark, sf):
+    """The ten best of every vector whose id is divisible by 50, from the candidate index."""
+    v = _vectors(spark, sf)
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return retrieval.ranked(retrieval.dense_candidates(asked, v), 10, 0.2)
+
+
 @query()
 def hybrid_search(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return retrieval.hybrid_search(table(spark, sf, "documents"), asked, "doc_id", "text")
 
 
-@query(f"WITH {BM25} SELECT l.qid, count(*) FILTER (r.id IS NOT NULL) / 10 AS precision, coalesce(max(CASE WHEN r.id IS NOT NULL THEN 1.0 / l.rank END), 0) AS rr FROM lex l LEFT JOIN (SELECT DISTINCT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) r ON r.qid = l.qid AND r.id = l.id WHERE l.qid IN (SELECT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) GROUP BY l.qid")
+@query(f"""WITH {BM25}, rel AS (SELECT DISTINCT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), n AS (SELECT qid, count(*) AS n_rel FROM rel GROUP BY qid),
+ hit AS (SELECT qid, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1.0)) AS dcg FROM lex JOIN rel USING (qid, id) GROUP BY qid)
+ SELECT n.qid, round(coalesce(hits, 0) / n_rel, 6) AS recall, coalesce(hits, 0) / 10 AS precision, coalesce(1 / first, 0) AS rr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda i: 1 / log2(i + 1.0))), 6) AS ndcg FROM n LEFT JOIN hit USING (qid)""")
 def retrieval_metrics(spark, sf):
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
-    # the test items are a fixed set; each document is compared with them where it stands
-    held = table(spark, sf, "documents").join(F.broadcast(items), F.col("text").contains(F.col("q"))).select("qid", F.col("doc_id").alias("id")).distinct()
-    return retrieval.retrieval_metrics(_lexical(spark, sf), held, 10).select("qid", "precision", "rr")
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    held = retrieval.holding(table(spark, sf, "documents"), items, "doc_id", "text")
+    out = retrieval.retrieval_metrics(_lexical(spark, sf), held, 10)
+    return out.withColumns({c: F.round(c, 6) for c in ("recall", "ndcg")})
 
 
 @query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents)
@@ -441,11 +445,14 @@ def context_pack(spark, sf):
     return chunks.pack(best, "qid", [F.col("rank")], 2000)
 
 
-@query("""SELECT o_custkey, o_orderstatus, side, CAST(abs(n) AS BIGINT) AS n FROM (SELECT o_custkey, o_orderstatus, CASE WHEN sum(s) > 0 THEN 'gold' ELSE 'predicted' END AS side, sum(s) AS n FROM (SELECT o_custkey, o_orderstatus, 1 AS s FROM orders UNION ALL SELECT o_custkey, o_orderstatus, -1 FROM orders WHERE o_totalprice > 1000) GROUP BY 1, 2 HAVING sum(s) <> 0)""")
+@query("""SELECT o_custkey, o_orderstatus, side, CAST(abs(n) AS BIGINT) AS n FROM (SELECT o_custkey, o_orderstatus, CASE WHEN sum(s) > 0 THEN 'gold' ELSE 'predicted' END AS side, sum(s) AS n FROM (SELECT o_custkey, o_orderstatus, 1 AS s FROM orders
+ UNION ALL SELECT o_custkey, CASE WHEN o_custkey % 7 = 0 AND o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END, -1 FROM orders WHERE o_orderpriority NOT LIKE '5%' OR o_custkey % 3 > 0) GROUP BY 1, 2 HAVING sum(s) <> 0)""")
 def rowset_equivalence(spark, sf):
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
-    gold, predicted = o.drop("o_totalprice"), o.where("o_totalprice > 1000").drop("o_totalprice")
-    return rowsets.difference(gold, predicted)
+    """The prediction leaves out some orders and reads pending ones of some customers as open."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
+    k = F.col("o_custkey")
+    seen = o.where(~F.col("o_orderpriority").like("5%") | (k % 3 > 0)).withColumn("o_orderstatus", F.when((k % 7 == 0) & (F.col("o_orderstatus") == "P"), "O").otherwise(F.col("o_orderstatus")))
+    return rowsets.difference(o.drop("o_orderpriority"), seen.drop("o_orderpriority"))
 
 
 _SO_FAR = "SELECT *, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n_so_far, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS turn FROM events"
@@ -482,16 +489,31 @@ def manifest_upsert(spark, sf):
     return sinks.upsert(old, new, "local_path", "bytes")
 
 
-@query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) FILTER (event_id % 5 <> 4) AS BIGINT) AS total, count(*) AS n, count(*) FILTER (event_id % 5 = 4) AS n_broken FROM events GROUP BY ALL")
 def json_props(spark, sf):
-    k = F.from_json("props", "k long")["k"]
-    return table(spark, sf, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count(F.lit(1)).alias("n"))
+    """Answers around each event's JSON: fenced, among words, with braces in strings, bare, or cut off."""
+    kind, p = F.col("event_id") % 5, F.col("props")
+    answer = (
+        F.when(kind == 0, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```\nas asked {1}")))
+        .when(kind == 1, F.concat(F.lit("sure "), p, F.lit(" and more }")))
+        .when(kind == 2, F.regexp_replace(p, r"^\{", '{"note": "a } in { a string", '))
+        .when(kind == 3, p)
+        .otherwise(F.substring(p, 1, 4))
+    )
+    k = F.from_json(X.extract_json(answer), "k long")["k"]
+    return table(spark, sf, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("k").isNull()).alias("n_broken"))
+
 
+_STATEMENT = """CASE doc_id % 8 WHEN 0 THEN 'Select ' || doc_id WHEN 1 THEN '-- drop table x' || chr(10) || 'select 1' WHEN 2 THEN 'select 1; drop table ' || source WHEN 3 THEN '/* it is; insert ' || chr(10) || ' */ WITH a AS (SELECT 1) SELECT * FROM a ; '
+ WHEN 4 THEN 'DELETE FROM ' || source WHEN 5 THEN 'select replace(''a'', ''b'', ''c'')' WHEN 6 THEN 'with ' || text ELSE '--' || text END"""
 
-@query("SELECT CAST(1 AS BIGINT) AS n_safe, count(*) AS n FROM documents WHERE regexp_matches(text, '(?i)^\\s*(select|with)\\b') OR true")
+
+@query(rf"""WITH s AS (SELECT doc_id % 8 AS kind, {_STATEMENT} AS s FROM documents), b AS (SELECT kind, regexp_replace(regexp_replace(regexp_replace(s, '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '^\s+|[\s;]+$', '', 'g') AS bare FROM s)
+ SELECT kind, bare <> '' AND NOT contains(bare, ';') AND regexp_matches(bare, '(?i)^(select|with)\b') AND NOT regexp_matches(bare, '(?i)\b(insert|update|delete|drop|alter|create|truncate|attach|pragma|replace|grant|vacuum)\b') AS safe, count(*) AS n FROM b GROUP BY ALL""")
 def safe_sql(spark, sf):
-    d = table(spark, sf, "documents").select(F.lit("/* drop */ SELECT 1;").alias("good"), F.concat(F.lit("select 1; drop table "), F.col("source")).alias("bad"))
-    return d.groupBy().agg(F.max(X.is_safe_select(F.col("good")).cast("long")).alias("n_safe"), F.count_if(~X.is_safe_select(F.col("bad"))).alias("n"))
+    d = table(spark, sf, "documents")
+    s = F.expr(_STATEMENT.replace("''", "\\'").replace("chr(10)", "char(10)"))
+    return d.groupBy((F.col("doc_id") % 8).alias("kind"), X.is_safe_select(s).alias("safe")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH l AS (SELECT quality AS a, 1 - toxic AS b FROM labels), s AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS po, avg(CAST(a AS DOUBLE)) AS pa, avg(CAST(b AS DOUBLE)) AS pb FROM l)
@@ -499,3 +521,8 @@ def safe_sql(spark, sf):
 def kappa(spark, sf):
     l_ = table(spark, sf, "labels").select(F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b"))
     return traces.cohen_kappa(l_, "a", "b").withColumns({c: F.round(c, 6) for c in ("observed", "expected")})
+
+
+from factloom.plans import documents, runs  # noqa: E402, F401  they register the other queries
+
+__all__ = ["ORACLES", "QUERIES"]
