@@ -50,9 +50,17 @@ def sentences(s: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
+def token_set(s: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != ""))
+
+
+def overlap_share(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets; 0 where both are empty."""
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    sets = [F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")) for x in (a, b)]
-    return F.coalesce(F.size(F.array_intersect(*sets)) / F.nullif(F.size(F.array_union(*sets)), F.lit(0)), F.lit(0.0))
+    return overlap_share(token_set(a), token_set(b))
 
 
 def strip_sql(s: Column) -> Column:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import overlap_share, token_set
+
+# Fixed pattern: where a text breaks into sentences.
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n{2,}")
 
 
@@ -15,47 +20,55 @@ def n_tokens(text: str) -> int:
     return max(1, (len(text) + 3) // 4)
 
 
+def _offsets(parts: list[str]) -> list[int]:
+    """Where each part begins when all are joined by a space, and where one more would."""
+    return [0, *accumulate(len(p) + 1 for p in parts)]
+
+
 def pieces(text: str, most: int) -> list[str]:
-    """Sentences; one longer than a chunk is cut at words."""
-    out = []
-    for s in filter(None, (x.strip() for x in _BREAK.split(text.strip()))):
-        if n_tokens(s) <= most:
-            out.append(s)
+    """Sentences; the words of one longer than a chunk, as many together as reach its size."""
+    out: list[str] = []
+    for sentence in (x.strip() for x in _BREAK.split(text)):
+        if not sentence:
+            continue
+        if n_tokens(sentence) <= most:
+            out.append(sentence)
             continue
-        size, run = -1, []
-        for w in s.split():
-            run.append(w)
-            size += len(w) + 1
-            if (size + 3) // 4 >= most:
-                out.append(" ".join(run))
-                size, run = -1, []
-        if run:
-            out.append(" ".join(run))
+        words = sentence.split()
+        at, begins = 0, _offsets(words)
+        while at < len(words):
+            # the first end at which the joined words have the characters of `most` tokens
+            end = min(len(words), max(at + 1, bisect_left(begins, begins[at] + 4 * most - 2)))
+            out.append(" ".join(words[at:end]))
+            at = end
+    return out
+
+
+def chunk_ranges(sizes: list[int], tokens: list[int], most: int, overlap: float) -> list[tuple[int, int]]:
+    """Ranges of parts, given their characters and tokens, that make the chunks: each as long as fits in `most` tokens. The
+    next one begins with the last parts of the one before: one at least, more until they have overlap * most tokens,
+    never over half of most, and only as many as leave room for the part that did not fit."""
+    begins = [0, *accumulate(n + 1 for n in sizes)]
+    sums = [0, *accumulate(tokens)]
+    fits = lambda a, z: (begins[z] - begins[a] - 1 + 3) // 4 <= most
+    out, start = [], 0
+    for end in range(1, len(sizes) + 1):
+        if end < len(sizes) and fits(start, end + 1):
+            continue
+        out.append((start, end))
+        if end < len(sizes):
+            by_cap = bisect_left(sums, sums[end] - most // 2)
+            by_share = min(end - 1, bisect_right(sums, sums[end] - int(most * overlap)) - 1)
+            start = max(start, by_cap, by_share)
+            while start < end and not fits(start, end + 1):
+                start += 1
     return out
 
 
 def chunk(text: str, most: int, overlap: float) -> list[str]:
     """Chunks of whole sentences of at most `most` tokens; each repeats the last sentences of the one before."""
-    budget, cap = int(most * overlap), most // 2
-    out: list[str] = []
-    run: list[str] = []
-    size = 0  # characters of run, joined
-    for s in pieces(text, most):
-        if run and (size + 1 + len(s) + 3) // 4 > most:
-            out.append(" ".join(run))
-            used, at = 0, len(run)
-            while at and (n_tokens(run[at - 1]) <= cap if at == len(run) else used < budget and used + n_tokens(run[at - 1]) <= cap):
-                at -= 1
-                used += n_tokens(run[at])
-            run = run[at:]
-            while run and n_tokens(" ".join([*run, s])) > most:
-                run = run[1:]
-            size = len(" ".join(run)) if run else -1
-        else:
-            size = size if run else -1
-        run.append(s)
-        size += 1 + len(s)
-    return [*out, " ".join(run)] if run else out
+    parts = pieces(text, most)
+    return [" ".join(parts[a:z]) for a, z in chunk_ranges([*map(len, parts)], [*map(n_tokens, parts)], most, overlap)]
 
 
 def chunk_documents(docs: DataFrame, id_col: str, text: str, most: int = 60, overlap: float = 0.2) -> DataFrame:
@@ -75,12 +88,12 @@ def pack(chunks: DataFrame, key: str, order: list[Column], budget: int, threshol
     goes first, the second last. Candidates are the few that a retrieval stage ranked."""
     w = Window.partitionBy(key).orderBy(*order)
     numbered = chunks.withColumn("_n", F.row_number().over(w))
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))
+    words = token_set(F.col("text"))
     lists = numbered.select(key, F.struct("_n", "id", "tokens", words.alias("words")).alias("c")).groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("cs"))
     empty = F.expr("cast(array() as array<struct<_n:int,id:bigint,tokens:int,words:array<string>>>)")
 
     def step(acc: Column, c: Column) -> Column:
-        alike = F.exists(acc["taken"], lambda t: F.coalesce(F.size(F.array_intersect(t["words"], c["words"])) / F.nullif(F.size(F.array_union(t["words"], c["words"])), F.lit(0)), F.lit(0.0)) >= threshold)
+        alike = F.exists(acc["taken"], lambda t: overlap_share(t["words"], c["words"]) >= threshold)
         ok = (acc["used"] + c["tokens"] <= budget) & ~alike
         item = F.struct(c["_n"].alias("_n"), c["id"].cast("bigint").alias("id"), c["tokens"].alias("tokens"), c["words"].alias("words"))
         return F.struct(F.when(ok, acc["used"] + c["tokens"]).otherwise(acc["used"]).alias("used"), F.when(ok, F.concat(acc["taken"], F.array(item))).otherwise(acc["taken"]).alias("taken"))

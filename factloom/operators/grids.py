@@ -68,13 +68,13 @@ def coverage(gold: DataFrame, numbers: DataFrame, rel: float = 0.005) -> DataFra
     bucket = lambda x: F.floor(F.asinh(x / 100.0) * 100)
     v, tol = F.col("value"), F.greatest(F.lit(0.5), F.abs(F.col("value")) * rel)
     wanted = gold.select("doc", "id", "value", F.explode(F.sequence(bucket(v - tol), bucket(v + tol))).alias("b"))
-    # per bucket and value only which documents hold it matters: one, and whether there is another
-    held = numbers.groupBy("doc", "value").agg(bucket(F.col("value")).alias("b"))
-    n = held.select(F.col("doc").alias("n_doc"), F.col("value").alias("n_value"), "b")
-    near = wanted.join(n, "b").where(F.abs(F.col("n_value") - v) <= tol)
-    hits = near.groupBy("doc", "id").agg(F.max((F.col("n_doc") == F.col("doc")).cast("int")).alias("own"), F.max((F.col("n_doc") != F.col("doc")).cast("int")).alias("other"))
-    out = gold.join(hits, ["doc", "id"], "left")
-    return out.withColumns({"hit_own": F.coalesce("own", F.lit(0)), "hit_other": F.coalesce("other", F.lit(0))}).drop("own", "other")
+    near = F.abs(F.col("n_value") - v) <= tol
+    own = wanted.join(numbers.select("doc", F.col("value").alias("n_value")).distinct().withColumn("b", bucket(F.col("n_value"))), ["doc", "b"]).where(near)
+    # of a value only two of the documents that hold it matter: one of them is another one than the gold row's
+    held = numbers.groupBy(F.col("value").alias("n_value")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).withColumn("b", bucket(F.col("n_value")))
+    other = wanted.join(held, "b").where(near & ((F.col("lo") != F.col("doc")) | (F.col("hi") != F.col("doc"))))
+    flag = lambda df, name: df.select("doc", "id").distinct().withColumn(name, F.lit(1))
+    return gold.join(flag(own, "hit_own"), ["doc", "id"], "left").join(flag(other, "hit_other"), ["doc", "id"], "left").fillna(0, ["hit_own", "hit_other"])
 
 
 def until_two_dry(pages: DataFrame, key: str, page: str, wet: Column) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ HINTS = {
     "PASS": "",
     "UNSAFE_SQL": "only a single SELECT is allowed",
     "EXECUTION_ERROR": "the statement does not run",
+    "TIMEOUT": "the statement takes too long: filter earlier, join on keys",
     "WRONG_SHAPE": "select as many columns as asked for",
     "WRONG_ROWCOUNT": "check filters, grouping and duplicates",
     "WRONG_ORDER": "the rows are right, their order is not",
@@ -60,18 +65,32 @@ def difference(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.groupBy(*names).agg(F.sum("_s").alias("n")).where("n <> 0").withColumn("side", F.when(F.col("n") > 0, "gold").otherwise("predicted")).withColumn("n", F.abs("n"))
 
 
-def score_sql(spark: SparkSession, gold_sql: str, predicted_sql: str, tol: float = 1e-6) -> str:
-    """The gold statement must run; the predicted one is checked before it may."""
+def score_sql(spark: SparkSession, gold_sql: str, predicted_sql: str, tol: float = 1e-6, timeout_s: float | None = None) -> str:
+    """The gold statement must run; the predicted one is checked before it may, and cancelled after timeout_s."""
     from factloom.functions.text import is_safe_select
 
     if not spark.createDataFrame([(predicted_sql,)], "q string").select(is_safe_select(F.col("q"))).first()[0]:
         return "UNSAFE_SQL"
     gold = spark.sql(gold_sql.strip().rstrip(";"))
+    tag, late = f"score-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(timeout_s, stop) if timeout_s else None
+    spark.addTag(tag)
     try:
+        if timer:
+            timer.start()
         predicted = spark.sql(predicted_sql.strip().rstrip(";"))
         reason = compare(gold, predicted, tol)
-    except PySparkException:
-        return "EXECUTION_ERROR"
+    except (PySparkException, Py4JJavaError):
+        return "TIMEOUT" if late.is_set() else "EXECUTION_ERROR"
+    finally:
+        spark.removeTag(tag)
+        if timer:
+            timer.cancel()
     ordered = " order by " in f" {' '.join(gold_sql.lower().split())} "
     if reason == "PASS" and ordered:
         number = lambda df: df.rdd.zipWithIndex().map(lambda r: (*map(str, r[0]), r[1]))

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+import time
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import parse_strict
+from factloom.operators.facts import keep_more_precise
 
 DOCUMENT = (
     "schema_name string, name string, "
@@ -89,17 +98,125 @@ def ixbrl_contexts(pages: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc", F.regexp_extract("c", r'\bid="([^"]+)"', 1).alias("context"), pick("startDate").alias("start"), F.coalesce(pick("endDate"), pick("instant")).alias("end"))
 
 
-def ixbrl_facts(pages: DataFrame, contexts: DataFrame, text: str = "text") -> DataFrame:
-    """Tagged numbers with scale and sign applied, joined to their contexts."""
-    tag = r"(?s)<ix:nonFraction\b[^>]*>.*?</ix:nonFraction>"
+# Currencies that are read.
+CURRENCIES = ("USD", "EUR", "GBP", "NOK", "CHF", "JPY", "CAD", "AUD", "BRL", "CNY", "DKK", "SEK")
+
+
+def currency_of(unit: Column) -> Column:
+    """The currency that a unit names: by itself, as its last run of letters, or after iso4217; never inside a word."""
+    upper = F.upper(unit)
+    letters = F.filter(F.split(upper, "[^A-Z]+"), lambda x: x != "")
+    last = F.when(~unit.rlike("[^A-Za-z]$"), F.element_at(F.when(F.size(letters) > 0, letters), -1))
+    iso = F.regexp_extract(upper, r"^ISO4217[_-]?([A-Z]{3})$", 1)
+    return F.coalesce(*[F.when(c.isin(*CURRENCIES), c) for c in (upper, last, iso)])
+
+
+def ixbrl_tags(pages: DataFrame, contexts: DataFrame, text: str = "text", taxonomies: tuple[str, ...] = ("us-gaap", "ifrs-full")) -> DataFrame:
+    """All tagged numbers with `drop_reason`: nil, other_taxonomy, dimensional (its context is none of `contexts`),
+    not_money or unparseable; null for those that are facts. Format, scale and sign are read from the tag."""
+    tag = r"(?s)<ix:nonFraction\b[^>]*(?:/>|>.*?</ix:nonFraction>)"
     rows = pages.select("doc", F.posexplode(F.regexp_extract_all(text, F.lit(tag), F.lit(0))).alias("ord", "t"))
-    attr = lambda n: F.regexp_extract("t", rf'\b{n}="([^"]*)"', 1)
-    shown = F.regexp_replace(F.regexp_replace("t", "<[^>]*>", ""), r"\s+", "")
-    value = F.when(attr("format").contains("comma"), parse_strict(shown, ",")["value"]).otherwise(parse_strict(shown, ".")["value"])
-    scale = F.pow(F.lit(10.0), F.coalesce(attr("scale").try_cast("int"), F.lit(0))).cast("decimal(20,6)")
-    signed = F.when(attr("sign") == "-", -value).otherwise(value) * scale
-    out = rows.select("doc", "ord", attr("name").alias("concept"), attr("contextRef").alias("context"), attr("unitRef").alias("unit"), attr("decimals").alias("decimals"), signed.cast("decimal(38,6)").alias("value"))
-    return out.join(contexts, ["doc", "context"])
+    head = F.regexp_extract("t", r"(?s)^(<[^>]*>)", 1)
+    attr = lambda n: F.regexp_extract(head, rf'(?:^|\s){n}="([^"]*)"', 1)
+    inner = F.regexp_replace(F.regexp_replace("t", "<[^>]*>", ""), "&#160;", "")
+    shown = F.regexp_replace(F.regexp_replace(inner, " ", " "), r"^\s+|\s+$", "")
+    european = attr("format").contains("comma-decimal")
+    parsed = F.when(european, parse_strict(shown, ",")).otherwise(parse_strict(shown, "."))
+    read = rows.select("doc", "ord", attr("name").alias("_name"), attr("contextRef").alias("context"), attr("unitRef").alias("unit_ref"), attr("decimals").alias("decimals"), attr("scale").alias("_scale"), attr("sign").alias("_sign"), attr("xsi:nil").alias("_nil"), attr("format").contains("fixed-zero").alias("_zero"), parsed.alias("_p"), shown.alias("raw"))
+    met = read.join(contexts.select("doc", "context", "start", "end", F.lit(True).alias("_c")), ["doc", "context"], "left")
+    name = F.split("_name", ":")
+    value = F.when(F.col("_zero"), F.lit(0).cast("decimal(38,6)")).otherwise(F.col("_p.value"))
+    scale = F.pow(F.lit(10.0), F.coalesce(F.col("_scale").try_cast("int"), F.lit(0))).cast("decimal(20,6)")
+    signed = (F.when(F.col("_sign") == "-", -value).otherwise(value) * scale).cast("decimal(38,6)")
+    reason = (
+        F.when(F.col("_nil") == "true", "nil")
+        .when(~F.get(name, F.lit(0)).isin(*taxonomies), "other_taxonomy")
+        .when(F.col("_c").isNull(), "dimensional")
+        .when(currency_of(F.col("unit_ref")).isNull(), "not_money")
+        .when(~F.col("_zero") & F.col("_p.is_nil"), "nil")
+        .when(value.isNull(), "unparseable")
+    )
+    digits = F.when(F.upper("decimals") == "INF", 1 << 20).otherwise(F.col("decimals").try_cast("int"))
+    return met.select("doc", "ord", F.get(name, F.lit(0)).alias("taxonomy"), F.get(name, F.lit(1)).alias("concept"), F.col("start").alias("period_start"), F.col("end").alias("period_end"), currency_of(F.col("unit_ref")).alias("unit"), digits.alias("decimals"), F.when(reason.isNull(), signed).alias("value"), "raw", reason.alias("drop_reason"))
+
+
+def ixbrl_facts(pages: DataFrame, contexts: DataFrame, text: str = "text") -> DataFrame:
+    """Facts of tagged pages: of a concept's repeats in a period the first, unless a later one differs and is more precise.
+    An exact value (INF) is the most precise, 0 decimals are real."""
+    good = ixbrl_tags(pages, contexts, text).where("drop_reason is null").drop("drop_reason", "raw")
+    return keep_more_precise(good, ["doc", "taxonomy", "concept", "period_start", "period_end"], "value", "decimals", ["ord"]).drop("ord")
+
+
+def drop_counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many rows each reason dropped."""
+    return rows.where("drop_reason is not null").groupBy(*(by or []), "drop_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+EXTRACTED = (
+    "fact_id string, statement string, line_item_canonical string, period_start date, period_end date, period_basis string, value_raw_text string, value decimal(38,6), declared_precision int, scale_multiplier long, "
+    "scale_source string, currency string, decimal_separator string, sign_rule_applied string, source_ref struct<page_no:int,verbatim_span:string,col_header_path:array<string>>, groundedness_verified boolean, run_id string"
+)
+
+
+def extraction_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Extracted rows as the gates read them; a broken line stops the read."""
+    df = json_lines(spark, path, EXTRACTED).withColumn("doc", F.input_file_name())
+    return df.select(
+        "doc", "fact_id", "statement", F.col("line_item_canonical").alias("concept"), "period_start", "period_end", "period_basis", F.coalesce("value_raw_text", F.lit("")).alias("raw"), "value", F.col("declared_precision").alias("decimals"),
+        F.coalesce("scale_multiplier", F.lit(1).cast("long")).alias("scale"), "scale_source", F.col("currency").alias("unit"), F.coalesce("decimal_separator", F.lit(".")).alias("separator"), F.col("sign_rule_applied").alias("sign_rule"),
+        F.col("source_ref.page_no").alias("page_no"), F.col("source_ref.verbatim_span").alias("span"), F.col("source_ref.col_header_path").alias("header_path"), F.col("groundedness_verified").alias("grounded"), F.col("run_id").alias("accn"),
+    )
+
+
+def converted(spark: SparkSession, path: str, convert: Callable[[bytes, str], dict]) -> DataFrame:
+    """(path, sha256, bytes, ok, json, error) of files that `convert` turns into parsed documents, a file at a time on the
+    executors. The parser itself is the caller's; a file that it can't read is a row with an error, not a lost job."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path_, content in zip(b["path"], b["content"], strict=True):
+                digest = hashlib.sha256(content).hexdigest()
+                try:
+                    rows.append((path_, digest, len(content), True, json.dumps(convert(content, path_), ensure_ascii=False), None))
+                except Exception as e:  # noqa: BLE001  whatever a parser raises belongs to its file
+                    rows.append((path_, digest, len(content), False, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "sha256", "bytes", "ok", "json", "error"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, sha256 string, bytes long, ok boolean, json string, error string")
+
+
+def fetched(targets: DataFrame, retries: int = 3, timeout: float = 90.0, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """targets (url, ...) with content, sha256, status and error: fetched on the executors, a few at a time. States that a
+    retry can mend are asked again after what the server says, else after 1, 2, 4, ... seconds."""
+    from factloom.operators.control import RETRY_STATUS
+
+    def get(url: str) -> tuple[bytes | None, int, str | None]:
+        for i in range(retries):
+            try:
+                with urllib.request.urlopen(url, timeout=timeout) as answer:
+                    return answer.read(), getattr(answer, "status", None) or 200, None
+            except urllib.error.HTTPError as e:
+                if e.code not in RETRY_STATUS or i == retries - 1:
+                    return None, e.code, str(e)
+                asked = e.headers.get("Retry-After") if e.headers else None
+                wait(min(60.0, max(0.0, float(asked))) if asked and asked.replace(".", "", 1).isdigit() else 2.0**i)
+            except OSError as e:
+                if i == retries - 1:
+                    return None, 0, str(e)
+                wait(2.0**i)
+        return None, 0, "not tried"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                content, status, error = get(row.url)
+                out = row._asdict() | {"content": content, "sha256": hashlib.sha256(content).hexdigest() if content is not None else None, "status": status, "error": error}
+                yield pd.DataFrame([out])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.schema)
+    return targets.mapInPandas(run, f"{kinds}, content binary, sha256 string, status int, error string")
 
 
 def paged_text(spark: SparkSession, path: str) -> DataFrame:
