@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.sources.stage import staged, table, unstage  # noqa: F401  the operators take them from here
+
 #: ASCII white space, the only separators of words in most contracts.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -19,40 +19,6 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Where that is unset, a temporary one serves a local master,
-    whose executors are this process; any other master is refused, as its executors would not share it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = getattr(scratch, "own", None) or tempfile.mkdtemp(prefix="factloom-")
-        scratch.own = folder
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends there, and a
-    lost executor loses nothing. The new frame's `staged_at` names the folder."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/factloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Deletes what staged() wrote, through the file system that holds it."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lowers the session's Arrow batch size to `rows`, so a batch of long texts stays bounded. It stays so: the
     setting is read when the frame runs, which is after the operator has returned it."""
