@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = MOST, id_col: s
     linked = roots.join(classes, F.col("node") == F.col("fp")).select("node", "root", "least")
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(named, "root").select("node", "component")
-    all_classes = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component"))
+    all_classes = staged(classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component")))
     return join_split(fps, all_classes, "fp", hot_keys(classes, "fp", fps.count())).select("doc", "fp", "component")
 
 
