@@ -76,10 +76,10 @@ def score_sql(spark: SparkSession, gold_sql: str, predicted_sql: str, tol: float
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobsWithTag(tag)
 
     timer = threading.Timer(timeout_s, stop) if timeout_s else None
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         if timer:
             timer.start()
@@ -88,7 +88,7 @@ def score_sql(spark: SparkSession, gold_sql: str, predicted_sql: str, tol: float
     except (PySparkException, Py4JJavaError):
         return "TIMEOUT" if late.is_set() else "EXECUTION_ERROR"
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
         if timer:
             timer.cancel()
     ordered = " order by " in f" {' '.join(gold_sql.lower().split())} "
