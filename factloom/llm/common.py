@@ -31,8 +31,9 @@ def set_aside(docs: DataFrame, *own: str):
     """(frame, give_back) for an operator that works on the columns `own`: the frame has these, and all others of
     docs in one struct, so that no name of theirs meets a name of the operator's. give_back(out, added) puts them
     back in their order, then the columns `added`; one whose name docs has already gets underscores in front."""
+    own = [c for c in dict.fromkeys(own) if c in docs.columns]
     others = [c for c in docs.columns if c not in own]
-    inner = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys(own)), *([F.struct(*(F.col(f"`{c}`") for c in others)).alias(_ASIDE)] if others else []))
+    inner = docs.select(*(F.col(f"`{c}`") for c in own), *([F.struct(*(F.col(f"`{c}`") for c in others)).alias(_ASIDE)] if others else []))
 
     def give_back(out: DataFrame, added: tuple = (), gone: tuple = ()) -> DataFrame:
         taken = {c.lower() for c in docs.columns}
