@@ -26,21 +26,21 @@ def body_pattern(sep: str) -> str:
 
 
 def strict_pattern(sep: str) -> str:
-    """Balanced parentheses around an unsigned body, or one sign and a body; one percent sign."""
+    """Fixed pattern: balanced parentheses around an unsigned body, or one sign and a body; one percent sign."""
     body = body_pattern(sep)
-    return rf"^(?:\(\s*({body})\s*\)|([{MINUS}+]?)\s*({body}))\s*%?$"
+    return rf"^(?:\(\s*(?:{body})\s*\)|[{MINUS}+]?\s*(?:{body}))\s*%?$"
 
 
 def parse_strict(token: Column, sep: str = ".") -> Column:
-    """struct(value, is_nil). A null value that is not nil is a reject, never a zero."""
-    t, pattern = stripped(token), strict_pattern(sep)
-    inside, sign, plain = (F.regexp_extract(t, pattern, i) for i in (1, 2, 3))
-    digits = F.concat(inside, plain)
-    digits = F.translate(F.translate(digits, ".", ""), ",", ".") if sep == "," else F.translate(digits, ",", "")
+    """struct(value, is_nil). A null value that is not nil is a reject, never a zero. One pattern decides; what it accepts
+    is a number once marks and blanks are taken out, so no further pattern runs."""
+    t = stripped(token)
+    group = "," if sep == "." else "."
+    digits = F.translate(t, f"{sep}{group}()%+{MINUS} \t\n\x0b\f\r", ".")
     size = F.concat(F.lit("0"), digits).try_cast(MONEY)
-    negative = (inside != "") | ((sign != "") & (sign != "+"))
+    negative = F.substring(t, 1, 1).isin("(", *MINUS)
     nil = F.lower(t).isin(*NIL_TOKENS)
-    value = F.when(~nil & t.rlike(pattern), F.when(negative, -size).otherwise(size))
+    value = F.when(~nil & t.rlike(strict_pattern(sep)), F.when(negative, -size).otherwise(size))
     return F.struct(value.cast(MONEY).alias("value"), nil.alias("is_nil"))
 
 

@@ -16,6 +16,7 @@ from factloom.functions.numbers import parse_strict
 from factloom.functions.text import norm_label, squash
 from factloom.operators.facts import keep_one
 from factloom.operators.grids import header_columns
+from factloom.sources.stage import staged
 
 TABLE = ["doc", "table_ord"]
 # Printed currencies and their codes; words that make a footnote a restatement.
@@ -167,11 +168,12 @@ def match_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def extract(tables: DataFrame, cells: DataFrame, texts: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
     """(facts, guards). facts: one row per number or nil cell of a claimed row. A concept is claimed, once in a document and
     statement, by the first row that yields a cell. guards (doc, reason, n) counts tables without a section or a scale,
-    rows that name a concept but have no number (empty_row) and rows whose concept is claimed already (dup_label)."""
-    years = year_columns(cells, profile.subheader)
+    rows that name a concept but have no number (empty_row) and rows whose concept is claimed already (dup_label). Runs jobs
+    when called: year columns and tables with their sections and scales are staged, as facts and guards both read them."""
+    years = staged(year_columns(cells, profile.subheader))
     listed = years.groupBy(*TABLE).agg(F.transform(F.sort_array(F.collect_list(F.struct("ci", "year"))), lambda x: x["year"]).alias("years"), F.first("ri").alias("head"))
     placed = with_sections(heading_above(tables, texts, profile.sections).join(listed, TABLE), profile.pages)
-    scaled = with_scales(placed, cells, texts, profile)
+    scaled = staged(with_scales(placed, cells, texts, profile))
     reason = F.when(F.col("section").isNull(), "no_section").when(F.col("scale").isNull(), "no_scale")
     fit = scaled.where("section is not null and scale is not null")
     rows = cells.where("ci = 0").select(*TABLE, "ri", F.regexp_replace("text", r"^\s+|\s+$", "").alias("label")).where("label <> ''")

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.stage import staged
+
 PERIOD = ["owner", "taxonomy", "period_start", "period_end"]
 _DECIMAL = "decimal(38,6)"
 
@@ -113,7 +115,8 @@ def check_rules(facts: DataFrame, rules: tuple[Rule, ...] = RULES, year: int | N
     sign mends names the first such term. A fallback is asked only where its rule lacks concepts; of variants of a
     name, one that holds hides the others of its period."""
     spark = facts.sparkSession
-    plain = latest_per_concept(facts)
+    # read twice, for the periods and for the terms
+    plain = staged(latest_per_concept(facts))
     periods = plain.select(*PERIOD).distinct().withColumn("period_kind", period_kind(F.col("period_start"), F.col("period_end")))
     if year is not None:
         periods = periods.where(F.year("period_end") == year)
@@ -174,7 +177,7 @@ def cash_continuity(facts: DataFrame, cash: dict = CASH, annual: bool = True) ->
     """(owner, taxonomy, period_start, period_end, status, reason, balance_concept, delta, tol): the closing balance less
     that of the day before the period begins against the change. The first preferred concept that has both balances
     counts. What does not fit is a WARN: a review, not a blocker."""
-    plain = latest_per_concept(facts)
+    plain = staged(latest_per_concept(facts))
     newest = plain.groupBy(*PERIOD, "concept").agg(F.max_by(F.struct("value", "tol", "unit"), F.struct("filed", "accn")).alias("f"))
     order = F.create_map(*[F.lit(x) for t, (prefs, _) in cash.items() for i, c in enumerate(prefs) for x in (f"{t}:{c}", i)])
     rank = F.element_at(order, F.concat_ws(":", "taxonomy", "concept"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import claims, disclosures, extraction, gates, grids, labels, rules, truth
 from factloom.plans.registry import query, table
+from factloom.sources.stage import staged
 
 # A customer's years, moved to 2015-2021 as header cells know 20xx: sums of finished, open and pending orders in whole
 # units, number of orders, place of the year among the customer's.
@@ -20,7 +21,7 @@ def _years(spark, sf) -> DataFrame:
     of = lambda s: F.sum(F.when(F.col("o_orderstatus") == s, whole))
     y = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc"), (F.year("o_orderdate") + 20).alias("y")).agg(of("F").alias("f"), of("O").alias("o"), of("P").alias("p"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("doc")
-    return y.withColumns({"ci": F.row_number().over(w.orderBy("y")), "n_years": F.count(F.lit(1)).over(w)})
+    return staged(y.withColumns({"ci": F.row_number().over(w.orderBy("y")), "n_years": F.count(F.lit(1)).over(w)}))
 
 
 PROFILE = extraction.Profile(
@@ -59,7 +60,8 @@ def statements(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     third = F.when(d % 3 == 2, "In EUR Tsd").otherwise("See above")
     note = F.when(d % 8 == 0, "1) Restated after the audit").otherwise("1 January is a holiday")
     parts = [text(0, 1, 700, "section_header", F.lit("Balance sheet")), text(1, 1, 600, "section_header", F.lit("Income statement 2021")), text(2, 1, 400, "section_header", F.lit("Balance sheet")), text(3, 1, 550, "text", stated), text(4, 1, 20, "footnote", note), text(5, 3, 600, "section_header", F.lit("Balance sheet")), text(6, 3, 550, "text", third), text(7, 9, 550, "text", late)]
-    return tables, cells, docs.select("doc", F.inline(F.array(*parts)))
+    # as if read from files: the operators go over cells several times
+    return tables, staged(cells), docs.select("doc", F.inline(F.array(*parts)))
 
 
 _LINES = f"""{YEARS}, lines AS (
