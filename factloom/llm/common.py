@@ -73,6 +73,16 @@ def with_fields(df: DataFrame, ddl: str, without: tuple = ()) -> T.StructType:
     return T.StructType([*(f for f in df.schema if f.name not in without), *T.StructType.fromDDL(ddl)])
 
 
+#: Rows of one written file where the number of all rows is known to be small.
+FILE_ROWS = 50_000
+
+
+def few_files(df: DataFrame, at_most: int) -> DataFrame:
+    """df, of no more than `at_most` narrow rows, in as many partitions as these rows need: a table of few rows
+    is not written as one small file for each shuffle partition. Never more partitions than df has."""
+    return df.coalesce(1 + at_most // FILE_ROWS)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 

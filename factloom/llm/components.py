@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import staged, unstage
+from factloom.llm.common import few_files, staged, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,8 +23,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of `edges` (a, b): root is the least node reachable. Each round is
-    written to the shared folder; rounds grow as the logarithm of the longest path. The neighbours of a large star's
-    centre meet its least one in a plain sort-merge join, which adaptive execution splits where one key is large."""
+    written to the shared folder, in files by the number of edges, which no round adds to; rounds grow as the
+    logarithm of the longest path. The neighbours of a large star's centre meet its least one in a plain sort-merge
+    join, which adaptive execution splits where one key is large."""
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = None
     while True:
@@ -32,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(row) == sign or not row[0]:
             break
         sign = tuple(row)
-        after = staged(_star(_star(now, True), False))
+        after = staged(few_files(_star(_star(now, True), False), row[0]))
         unstage(now)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import NOT_SPACE, hot_keys, join_split, set_aside, small_batches, staged, texts, word_hashes, words
+from factloom.llm.common import NOT_SPACE, few_files, hot_keys, join_split, set_aside, small_batches, staged, texts, word_hashes, words
 from factloom.llm.components import connected_components
 
 SEED = 42
@@ -184,16 +184,17 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _probes(layout: list[tuple[list[int], int]]) -> Column:
-    masks = [_mask(set(bits) - set(gone)) for bits, t in layout for gone in combinations(bits, t)]
+def _probes(masks: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])
 
 
 def near_edges(distinct: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of `distinct.fp` within `most` <= 2 bits."""
-    probes = distinct.select("fp", F.inline(_probes(plan(distinct, most))))
+    masks = [_mask(set(bits) - set(gone)) for bits, t in plan(distinct, most) for gone in combinations(bits, t)]
+    probes = distinct.select("fp", F.inline(_probes(masks)))
     shared = probes.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = staged(probes.join(shared, ["kind", "key"]).select("fp", F.struct("kind", "key").alias("at"), "n"))
+    met = probes.join(shared, ["kind", "key"]).select("fp", F.struct("kind", "key").alias("at"), "n")
+    met = staged(few_files(met, distinct.count() * len(masks)))
     few = met.where(F.col("n") <= bucket).groupBy("at").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= most
     pairs = F.flatten(
@@ -217,13 +218,14 @@ def near_edges(distinct: DataFrame, most: int = MOST, bucket: int = BUCKET) -> D
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp, component) for each row of docs."""
     fps = staged(fingerprints(docs, width, id_col, text_col))
-    classes = staged(fps.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")))
+    rows = fps.count()
+    classes = staged(few_files(fps.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")), rows))
     roots = connected_components(near_edges(classes, most))
     linked = roots.join(classes, F.col("node") == F.col("fp")).select("node", "root", "least")
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(named, "root").select("node", "component")
-    all_classes = staged(classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component")))
-    return join_split(fps, all_classes, "fp", hot_keys(classes, "fp", fps.count())).select("doc", "fp", "component")
+    all_classes = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component"))
+    return join_split(fps, staged(few_files(all_classes, rows)), "fp", hot_keys(classes, "fp", rows)).select("doc", "fp", "component")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
