@@ -221,9 +221,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = MOST, id_col: s
     rows = fps.count()
     classes = staged(few_files(fps.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")), rows))
     roots = connected_components(near_edges(classes, most))
-    linked = roots.join(classes, F.col("node") == F.col("fp")).select("node", "root", "least")
-    named = linked.groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(named, "root").select("node", "component")
+    linked = staged(few_files(roots.join(classes, F.col("node") == F.col("fp")).select("node", "root", "least"), rows))
+    named = linked.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n"))
+    linked = join_split(linked, named.drop("n"), "root", hot_keys(named, "root", linked.count())).select("node", "component")
     all_classes = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component"))
     return join_split(fps, staged(few_files(all_classes, rows)), "fp", hot_keys(classes, "fp", rows)).select("doc", "fp", "component")
 
