@@ -36,7 +36,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates. Null and empty texts are one group; of
+    """One document, that of the least id, of each group of near duplicates: documents that op3 links, by fingerprints
+    of 2 or fewer differing bits, and beyond these the similar ones. Null and empty texts are one group; of
     rows that repeat an id one stays, one with words if there is any; rows without an id all stay."""
     return simhash.one_of_each(docs, SHINGLE, SIMILARITY)
 

@@ -36,6 +36,8 @@ from factloom.llm.common import NOT_SPACE, few_files, hot_keys, join_split, set_
 from factloom.llm.components import connected_components
 
 SEED = 42
+#: Words of a shingle of a fingerprint.
+WIDTH = 3
 MOST = 2
 BUCKET = 64
 BINS = 4096
@@ -215,7 +217,7 @@ def near_edges(distinct: DataFrame, most: int = MOST, bucket: int = BUCKET) -> D
     return small.union(large)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp, component) for each row of docs."""
     fps = staged(fingerprints(docs, width, id_col, text_col))
     rows = fps.count()
@@ -228,6 +230,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = MOST, id_col: s
     return join_split(fps, staged(few_files(all_classes, rows)), "fp", hot_keys(classes, "fp", rows)).select("doc", "fp", "component")
 
 
+def print_edges(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) for prints (key binary, fp), each pair once, whose components are those that near_duplicates finds
+    for the keys in the place of documents. A fingerprint is a node of its own between its keys."""
+    node = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    classes = staged(few_files(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), prints.count()))
+    near = staged(near_edges(classes))
+    met = classes.where("n > 1").select("fp").union(near.select("a")).union(near.select("b")).distinct()
+    return near.select(node("a").alias("a"), node("b").alias("b")).union(prints.join(met, "fp", "left_semi").select("key", node("fp")))
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs.select("doc_id", "text"))
     return out.select(F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -276,17 +288,19 @@ def _sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, row, key, n, bands, b0, b1) for each row: hash of the text, digest of its set of shingles, size
-    of that, sketch."""
+    """(doc, row, fp, key, n, bands, b0, b1) for each row: hash of the text, fingerprint, digest of its set of
+    shingles, size of that, sketch."""
     small_batches(docs.sparkSession, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, width) for t in texts(b)]
+            whole = texts(b)
+            sets = [shingle_set(t, width) for t in whole]
             made = [_sketch(x) for x in sets]
             cols = {
                 "doc": b.column("doc"),
                 "row": b.column("row"),
+                "fp": pa.array([fingerprint(t, WIDTH) for t in whole], pa.int64()),
                 "key": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                 "n": pa.array(map(len, sets), pa.int64()),
                 "bands": pa.array([m for m, _ in made], pa.list_(pa.int64())),
@@ -296,7 +310,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     narrow = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
-    return narrow.mapInArrow(run, f"doc {narrow.schema['doc'].dataType.simpleString()}, row long, key binary, n long, bands array<long>, b0 long, b1 long")
+    return narrow.mapInArrow(run, f"doc {narrow.schema['doc'].dataType.simpleString()}, row long, fp long, key binary, n long, bands array<long>, b0 long, b1 long")
 
 
 def _homes(asked: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -365,10 +379,10 @@ def rare_prefixes(held: DataFrame, counts: np.ndarray, width: int, similarity: f
     return held.mapInArrow(run, "key binary, h long, place long")
 
 
-def similar_edges(classes: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges (a, b) between keys of classes, whose components are those of all similar pairs that share a
-    band. In each bucket all members are compared with its CENTRES. Members of buckets that are then still
-    of several components meet over their rarest shingles instead, of which similar texts share one, so a
+def similar_edges(known: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (a, b) whose components are, for the keys of classes, those of the edges `known` and of all similar
+    pairs that share a band. In each bucket all members are compared with its CENTRES. Members of buckets that
+    are then still of several components meet over their rarest shingles instead, of which similar texts share one, so a
     passage that many texts have brings none of them together; pairs of two components are compared,
     but for those of two members of their buckets' largest ones."""
     far = BANDS * ROWS * (1 - similarity) / 2
@@ -390,7 +404,7 @@ def similar_edges(classes: DataFrame, docs: DataFrame, width: int, similarity: f
     members = met.select("at", F.struct("key", "n", "b0", "b1").alias("y"))
     first = staged(centres.join(members, "at").where((F.col("x.key") != F.col("y.key")) & near(F.col("x"), F.col("y"))).select(*ordered).distinct())
     asked = first.select(F.col("a").alias("key")).union(first.select("b")).distinct()
-    linked = staged(_verified(first, _homes(asked, classes, docs, id_col, text_col), width, similarity))
+    linked = staged(_verified(first, _homes(asked, classes, docs, id_col, text_col), width, similarity).union(known))
 
     roots = connected_components(linked).distinct()
     now = staged(members.join(roots, F.col("y.key") == F.col("node"), "left").select("at", "y", F.coalesce("root", "y.key").alias("part")))
@@ -411,15 +425,18 @@ def similar_edges(classes: DataFrame, docs: DataFrame, width: int, similarity: f
     first_met = ~F.arrays_overlap("x_last", "last")
     rest = x.join(y, "h").where((F.col("of") != F.col("part")) & (~F.col("stray") | (F.col("x.key") < F.col("y.key"))) & enough & near(F.col("x"), F.col("y")) & first_met)
     second = staged(rest.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"))
-    return linked.union(_verified(second, held, width, similarity))
+    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stars.union(_verified(second, held, width, similarity))
 
 
 def _components(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc, row, component) for each row of docs; row is the hash of its text."""
+    """(doc, row, component) for each row of docs; row is the hash of its text. Fingerprints link as they do in
+    near_duplicates, each different set of shingles in the place of a document; similar texts are sought beyond that."""
     made = staged(sketches(docs, width, id_col, text_col))
+    known = print_edges(staged(made.select("key", "fp").distinct()))
     one = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "row"))
     classes = staged(made.groupBy("key").agg(one.alias("first"), *(F.first(c).alias(c) for c in ("n", "bands", "b0", "b1"))))
-    roots = connected_components(similar_edges(classes, docs, width, similarity, id_col, text_col)).distinct()
+    roots = connected_components(similar_edges(known, classes, docs, width, similarity, id_col, text_col)).distinct()
     linked = classes.select("key", F.col("first.doc").alias("least")).join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
     found = linked.join(named, "root").select(F.col("key").alias("_key"), "component")
@@ -428,8 +445,8 @@ def _components(docs: DataFrame, width: int, similarity: float, id_col: str, tex
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, component) for each row of docs: component is the least id among the texts that a chain of
-    similar ones reaches. Texts with the same set of shingles are one before any link is sought; texts
-    without words are alike."""
+    linked fingerprints (those of near_duplicates) and of similar texts reaches. Texts with the same set
+    of shingles are one before any similar one is sought; texts without words are alike."""
     return _components(docs, width, similarity, id_col, text_col).select("doc", "component")
 
 

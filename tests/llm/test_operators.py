@@ -506,6 +506,33 @@ def test_rows_that_repeat_an_id_are_decided_by_their_texts(spark):
     assert Counter(map(tuple, kept)) == Counter([(1, text("a")), (2, text("b")), (3, text("c")), (4, text("d")), (5, text("e")), (None, text("f"))])
 
 
+def test_near_dedup_keeps_the_links_of_fingerprints(spark):
+    """Texts of one long refrain are near copies by op3's fingerprints, repeats included, not by their sets of shingles.
+    A chain over both kinds of links is one group."""
+    own = lambda k, n: " ".join(f"{k}o{i}" for i in range(n))
+    refrain = " ".join(f"r{i}" for i in range(13))
+    song = lambda k: f"{own(k, 20)} {' '.join([refrain] * 60)}"
+    plain = own("p", 400)
+    data = [(10, song("a")), (11, song("b")), (9, f"{song('b')} {own('b', 5)}"), (13, f"{own('c', 400)} {refrain} {refrain}"), (20, plain), (21, plain.replace("po200", "x")), (22, own("q", 400)), (23, None), (24, " \n")]
+    data += [(r["doc_id"] + 100, r["text"]) for r in docs(spark).collect()]
+    prints = held_components([i for i, _ in data], [brute_fp(t, 3) for _, t in data])
+    root = {i: i for i, _ in data}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    by_set = similar_components(data)
+    for i, c in [(i, c) for i, _, c in prints] + by_set:
+        a, b = sorted((find(i), find(c)))
+        root[b] = a
+    by_print = {i: c for i, _, c in prints}
+    assert by_print[11] == by_print[10] and dict(by_set)[10] == 10 and dict(by_set)[11] != 10
+    want = {i for i in root if find(i) == i}
+    assert {9, 13, 20, 22, 23} <= want and not {10, 11, 21, 24} & want
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()} == want
+
+
 def test_hex_inside_a_longer_candidate(spark):
     key = "9233A8EC07D14B6F5E1C9233A8EC07D1"
     data = [(1, f"KEY={key} x"), (2, f"see /{key}"), (3, "id=12345678901234567890"), (4, key)]
