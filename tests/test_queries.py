@@ -1,5 +1,6 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -60,3 +61,12 @@ def test_header_grids_hold_all_orders(spark, con, monkeypatch):
     assert sorted((r["doc"], r["text"]) for r in cells if r["ri"] == 1) == sorted((d, f"{y} 1") for d, y, _ in counts)
     assert sum(int(r["text"][3:]) for r in cells if r["ri"] == 2) == sum(n for *_, n in counts)
     assert any(y < 2000 for _, y, _ in counts) and sorted((r["doc"], r["year"]) for r in out) == sorted((d, y) for d, y, _ in counts if y >= 2000)
+
+
+def test_sentence_stats_of_odd_texts_equal_sql(spark, tmp_path):
+    texts = [None, "", " ", "\n\n", "a.\x0bb", "a \x0b", "a.\x01 b", "\x01", "one \u2028", "one \x85", "a.\xa0b. c", "x\n\n\ny! z", ". \t", "é 👨‍👩‍👧. Two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(queries.QUERIES["sentence_stats"](spark, str(tmp_path)), c, queries.ORACLES["sentence_stats"]) is None
