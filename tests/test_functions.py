@@ -173,3 +173,17 @@ def test_upsert(spark):
     old = spark.createDataFrame([("a", 1), ("b", 9)], "k string, t int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "k string, t int")
     assert sorted(map(tuple, sinks.upsert(old, new, "k", "t").collect())) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_lexical_best_equals_pairs(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 9))) for i in range(60)] + [(60, None), (61, "w1 w2"), (62, "w1 w2")]
+    asked = spark.createDataFrame([("a", "w1 w2 w2"), ("b", "w3 none"), ("c", None), ("d", "absent")], "qid string, text string")
+    met, real = [], retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda *a: met.append(1) or real(*a))
+    for docs, few, calls in ((rows, 2048, 0), (rows, 1, 1), ([*rows, (5, "w3 w3")], 2048, 1)):
+        docs = spark.createDataFrame(docs, "id int, text string").repartition(3)
+        want = retrieval.ranked(real(docs, asked, "id", "text").withColumn("score", F.round("score", 8)), 4)
+        monkeypatch.setattr(retrieval, "FEW_QUERIES", few)
+        met.clear()
+        got = retrieval.bm25_best(docs, asked, "id", "text", 4)
+        assert sorted(map(tuple, got.select("qid", "id", "rank", F.round("score", 6)).collect())) == sorted(map(tuple, want.select("qid", "id", "rank", F.round("score", 6)).collect())) and len(met) == calls
