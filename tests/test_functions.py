@@ -2,6 +2,7 @@
 
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,18 @@ def test_lexical_best_equals_pairs(spark, monkeypatch):
         met.clear()
         got = retrieval.bm25_best(docs, asked, "id", "text", 4)
         assert sorted(map(tuple, got.select("qid", "id", "rank", F.round("score", 6)).collect())) == sorted(map(tuple, want.select("qid", "id", "rank", F.round("score", 6)).collect())) and len(met) == calls
+
+
+def test_vectors_of_a_batch_and_sense_in_place(spark, monkeypatch):
+    texts = ["Refunds refund, E-4021 a ab abc", None, "", "ab ab-c 7 ---", "É naïve 12-34-5"]
+    assert (X.unit_vectors(texts) == np.array([X.unit_vector(t or "") for t in texts])).all() and X.unit_vectors([]).shape == (0, 1024)
+    docs = spark.createDataFrame([(i, f"alpha{i % 5} beta{i % 3} gamma {i}") for i in range(40)], "id int, text string")
+    asked = spark.createDataFrame([(0, "alpha1 gamma"), (1, "beta2 beta2"), (2, "nothing")], "qid int, text string")
+    blocks, real = [], retrieval.dense_best
+    monkeypatch.setattr(retrieval, "dense_best", lambda *a: blocks.append(1) or real(*a))
+    got = []
+    for few in (2048, 1):
+        monkeypatch.setattr(retrieval, "FEW_QUERIES", few)
+        got.append(sorted(map(tuple, retrieval.hybrid_search(docs, asked, "id", "text").collect())))
+        assert bool(blocks) == (few == 1)
+    assert got[0] == got[1] and got[0]
