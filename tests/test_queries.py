@@ -70,3 +70,14 @@ def test_sentence_stats_of_odd_texts_equal_sql(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert difference(queries.QUERIES["sentence_stats"](spark, str(tmp_path)), c, queries.ORACLES["sentence_stats"]) is None
+
+
+def test_lines_are_dealt_by_their_number(spark, con, monkeypatch):
+    from factloom.sources import stage
+
+    monkeypatch.setattr(stage, "TASK_ROWS", 1000)
+    lines = con.sql("select count(*) from lineitem").fetchall()[0][0]
+    for name in ("duplicate_conflicts",):
+        df = queries.QUERIES[name](spark, SF)
+        assert f", {-(-lines // 1000)}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+        assert difference(df, con, queries.ORACLES[name]) is None
